@@ -6,20 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import exact_dedup
+from foldspark.llm import exact_dedup, near_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_exact_dedup": op10_exact_dedup}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 
 ORACLES: dict[str, str] = {
+    "op9_minhash_near_dedup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        sets AS (
+            SELECT doc_id, list_distinct([array_to_string(list_slice(w, i, i + 4), ' ') for i in range(1, greatest(len(w) - 3, 2))]) AS s
+            FROM words WHERE len(w) > 0),
+        items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+        links AS (
+            SELECT x.doc_id AS a, y.doc_id AS b
+            FROM items x JOIN items y ON x.item = y.item AND x.doc_id <> y.doc_id
+            GROUP BY x.doc_id, y.doc_id, x.n, y.n
+            HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT doc_id, CAST(coalesce(len(s), 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM component LEFT JOIN sets USING (doc_id)""",
     "op10_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
