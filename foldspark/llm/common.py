@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -89,6 +90,15 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def row_chunks(offsets: np.ndarray, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about `size` bytes of text, one row at least."""
+    at = 0
+    while at < len(offsets) - 1:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield at, end
+        at = end
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) and the number of words of each row."""
     rows = len(offsets) - 1
