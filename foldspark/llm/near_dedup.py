@@ -1,9 +1,11 @@
 """MinHash near-duplicate detection: SuperMinHash signatures, banding, exact verification, distributed union-find.
 
 Documents with one and the same shingle set are one class, and only the smallest doc_id of a class goes on. Classes that
-share a band bucket are candidates. Inside a bucket the classes are first held against one hub, which settles a group of
-thousands of near copies with as many pairs as it has members; only members of one bucket that the links so far leave in
-different components are then compared with each other. Each link is confirmed on the full shingle sets.
+share a band bucket are candidates. Inside a bucket the classes are first held against one hub, which settles most of a
+group of thousands of near copies with as many pairs as it has members. Members of one bucket that the links so far leave
+in different components are then compared with each other: as pairs in small buckets, and in large ones block against
+block inside a task, which counts common 32-bit shingle hashes (these may collide, which can only add to the count) and
+gives out no more links than join its components. Each link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ SIMILARITY = 75  # per cent of the union
 SLOTS = 128
 BANDS = 32  # of 4 slots: a pair at 0.75 shares no band with probability 5e-6
 CHUNK_BYTES = 2 << 20
+SMALL_BUCKET = 32  # members of a bucket that are compared as pairs of rows
+BLOCK_MEMBERS = 512
+COLUMNS = 4096
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
@@ -38,7 +43,7 @@ def super_minhash(row: np.ndarray, h: np.ndarray, rows: int, slots: int = SLOTS)
     row, h = row.copy(), h.copy()
     perm = None
     for j in range(slots):
-        z = mix64(h + U64(2 * j + 1) * _GOLDEN)
+        z = mix64(h + U64((2 * j + 1) * int(_GOLDEN) & 0xFFFFFFFFFFFFFFFF))
         rank = (z >> U64(11)).astype(np.float64) * 2.0**-53 + j
         k = j + ((mix64(z) >> U64(32)) * U64(slots - j) >> U64(32)).astype(np.int64)
         at = np.arange(len(h))
@@ -113,7 +118,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
     for batch in batches:
         for at, end, row, h in _sets(batch.column(1), width):
             cuts = np.searchsorted(row, np.arange(end - at + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array([h[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), *(pa.array([x[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (h, (h >> U64(32)).astype(np.uint32)))], names=["doc_id", "shingles", "short"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
@@ -129,10 +134,48 @@ def _confirm(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
 
 
+def _compare_blocks(table: pa.Table, similarity: int) -> pa.Table:
+    """Links that join different components, between two blocks of a bucket or within one."""
+    rep, n, component, block = (np.asarray(table.column(k).combine_chunks()) for k in ("rep", "n", "component", "block"))
+    first, second = table.column("first")[0].as_py(), table.column("second")[0].as_py()
+    sides = [np.flatnonzero(block == k) for k in (first, second)]
+    found: list[tuple[int, int]] = []
+    if len(np.unique(component)) > 1 and all(map(len, sides)):
+        items = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("short")]
+        value = [np.concatenate([items[i] for i in side]) for side in sides]
+        owner = [np.repeat(np.arange(len(side)), [len(items[i]) for i in side]) for side in sides]
+        common = np.intersect1d(*value)
+        place = [np.searchsorted(common, v).clip(0, max(0, len(common) - 1)) for v in value]
+        held = [common[p] == v for p, v in zip(place, value, strict=True)] if len(common) else [np.zeros(len(v), bool) for v in value]
+        both = np.zeros((len(sides[0]), len(sides[1])))
+        for at in range(0, len(common), COLUMNS):
+            a, b = (np.zeros((len(side), min(COLUMNS, len(common) - at)), np.float32) for side in sides)
+            for m, p, o, h in zip((a, b), place, owner, held, strict=True):
+                k = np.flatnonzero(h & (p >= at) & (p < at + COLUMNS))
+                np.add.at(m, (o[k], p[k] - at), 1)
+            both += a @ b.T
+        x, y = sides
+        link = (100 * both >= similarity * (n[x][:, None] + n[y][None] - both)) & (component[x][:, None] != component[y][None])
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        for i, j in zip(*np.nonzero(link), strict=True):
+            c, d = find(int(component[x[i]])), find(int(component[y[j]]))
+            if c != d:
+                root[max(c, d)] = min(c, d)
+                found.append((int(rep[x[i]]), int(rep[y[j]])))
+    return pa.table({"a": pa.array([max(f) for f in found], pa.int64()), "b": pa.array([min(f) for f in found], pa.int64())})
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """(a, b, ok) of candidate pairs (a, b), from the full sets."""
-    left = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), "a")
-    both = left.join(sets.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
+    full = sets.select("doc_id", "shingles")
+    left = pairs.join(full.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), "a")
+    both = left.join(full.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
     return materialise(both.mapInArrow(partial(_confirm, similarity=similarity), "a long, b long, ok boolean"), "verified")
 
 
@@ -150,39 +193,37 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: int
     usable = sigs.where("n_shingles > 0 and doc_id is not null")
     classes = materialise(usable.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     placed = usable.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+    shared = placed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low < high").drop("high")
     members = materialise(placed.join(shared, "bucket"), "members")
 
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialise(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_full_sets, width=width), "doc_id long, shingles binary"), "sets")
-
-    def comparable(a: str, b: str):
-        return F.least(a, b) * 100 >= F.greatest(a, b) * similarity
+    sets = materialise(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_full_sets, width=width), "doc_id long, shingles binary, short binary"), "sets")
 
     stars = members.where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     tried = _verify(stars, sets, similarity)
-    links = tried.where("ok").select("a", "b")
-    component = materialise(connected_components(links), "components")
-    for hub in ("high", None):
-        at = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        torn = at.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
-        at = at.join(torn, "bucket")
-        if hub:  # the members outside the component of the bucket's largest id, against that id
-            centre = at.where("rep = high").select("bucket", F.col("component").alias("centre"))
-            pairs = at.join(centre, "bucket").where("component <> centre").select(F.col("high").alias("a"), F.col("rep").alias("b"))
-        else:  # what is still apart, each with each of the other components
-            other = at.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = at.join(other, "bucket").where(F.expr("rep > b and component <> other") & comparable("n", "m")).select(F.col("rep").alias("a"), "b")
-        pairs = materialise(pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        fresh = _verify(pairs, sets, similarity)
-        tried = tried.unionByName(fresh)
-        fresh = fresh.where("ok")
-        if fresh.isEmpty():
-            continue
-        links = component.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).union(fresh.select("a", "b"))
-        component = materialise(connected_components(links), "components")
+    component = materialise(connected_components(tried.where("ok").select("a", "b")), "components")
+
+    at = members.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    torn = at.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("bucket")
+    at = materialise(at.join(torn, "bucket").select("bucket", "size", "rep", "n", "component"), "torn")
+    small = at.where(F.col("size") <= SMALL_BUCKET)
+    other = small.select("bucket", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
+    comparable = F.least("n", "m") * 100 >= F.greatest("n", "m") * similarity
+    apart = small.join(other, "bucket").where(F.expr("rep > b and component <> other") & comparable).select(F.col("rep").alias("a"), "b").distinct()
+    apart = apart.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+
+    large = at.where(F.col("size") > SMALL_BUCKET).withColumn("blocks", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int"))
+    large = large.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).join(sets.select(F.col("doc_id").alias("rep"), "short"), "rep")
+    dealt = large.withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "partner").alias("first"), F.greatest("block", "partner").alias("second"), "block", "rep", "n", "component", "short")
+
+    def compare_blocks(table: pa.Table) -> pa.Table:
+        return _compare_blocks(table, similarity)
+
+    found = dealt.groupBy("bucket", "first", "second").applyInArrow(compare_blocks, "a long, b long").distinct()
+    fresh = _verify(materialise(apart.union(found), "pairs"), sets, similarity).where("ok").select("a", "b")
+    if not fresh.isEmpty():
+        known = component.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        component = materialise(connected_components(known.union(fresh)), "components")
     release(sets)
     known = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "rep").alias("component_id"))
     linked = usable.join(known, ["n_shingles", "f1", "f2"]).select("doc_id", "n_shingles", "component_id")
