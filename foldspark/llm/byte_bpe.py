@@ -200,6 +200,21 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, step: i
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tolist() for x in ids], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
 
+def _checked(batches: Iterator[pa.RecordBatch], path: str, pattern: str, step: int) -> Iterator[pa.RecordBatch]:
+    bpe = load(path, pattern)
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            texts = part.column(1).to_pylist()
+            ids = bpe.encode(texts)
+            for t, x in zip(texts, ids, strict=True):
+                if bpe.decode(x) != (t or "").encode("utf-8", "surrogatepass"):
+                    raise ValueError("the ids of a text do not decode to it")
+            size = np.array([len(x) for x in ids], np.int64)
+            flat = np.concatenate(ids)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(flat, pa.int32()))], names=["doc_id", "n_tokens", "ids"])
+
+
 def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     bpe = load(path, pattern)
     for batch in batches:
@@ -226,6 +241,12 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
     return encoded.select("doc_id", "ids").mapInArrow(partial(_decoded, path=path or known[0], pattern=pattern or known[1]), "doc_id long, data binary")
 
 
+def encode_checked(docs: DataFrame, path: str | None = None, pattern: str | None = None, step: int = 256) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every whole text, each decoded again and compared with its text."""
+    known = default_vocabulary()
+    return docs.select("doc_id", "text").mapInArrow(partial(_checked, path=path or known[0], pattern=pattern or known[1], step=step), "doc_id long, n_tokens long, ids array<int>")
+
+
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, step: int = 256) -> DataFrame:
     """One row for each document: (doc_id, n_tokens, ids_sha256, decoded_sha256), encoded and decoded again.
 

@@ -229,6 +229,18 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that `exact_dedup` keeps, with all their columns."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that `exact_dedup` keeps, with all their columns; of rows that repeat doc_id and text, any one."""
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    decided = materialise(exact_dedup(docs).where("group_size > 1"), "exact-decisions")
+    hashed = docs.withColumn("text_sha256 of text", digest)
+    on = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_sha256 of text") == F.col("text_sha256"))
+
+    def rows(which: DataFrame) -> DataFrame:
+        return which.select(F.col("doc_id").alias("of_id"), "text_sha256").distinct()
+
+    out = hashed.join(rows(decided.where(~F.col("kept"))), on, "left_anti")
+    repeated = decided.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
+    if not repeated.isEmpty():
+        once = hashed.join(rows(repeated), on, "left_semi").dropDuplicates(["doc_id", "text_sha256 of text"])
+        out = out.join(rows(repeated), on, "left_anti").union(once)
+    return out.select(*docs.columns)
