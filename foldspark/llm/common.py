@@ -40,6 +40,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """The name, with marks appended until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     if (path := getattr(df, "_scratch", None)) is not None:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import U64, materialise, mix64
+from foldspark.llm.common import U64, materialise, mix64, unused_name
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -230,17 +230,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that `exact_dedup` keeps, with all their columns; of rows that repeat doc_id and text, any one."""
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     decided = materialise(exact_dedup(docs).where("group_size > 1"), "exact-decisions")
-    hashed = docs.withColumn("text_sha256 of text", digest)
-    on = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_sha256 of text") == F.col("text_sha256"))
+    mine, of_id, of_text = (unused_name(docs, c) for c in ("own_sha256", "of_id", "of_sha256"))
+    hashed = docs.withColumn(mine, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    on = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(mine) == F.col(of_text))
 
     def rows(which: DataFrame) -> DataFrame:
-        return which.select(F.col("doc_id").alias("of_id"), "text_sha256").distinct()
+        return which.select(F.col("doc_id").alias(of_id), F.col("text_sha256").alias(of_text)).distinct()
 
     out = hashed.join(rows(decided.where(~F.col("kept"))), on, "left_anti")
     repeated = decided.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
     if not repeated.isEmpty():
-        once = hashed.join(rows(repeated), on, "left_semi").dropDuplicates(["doc_id", "text_sha256 of text"])
+        once = hashed.join(rows(repeated), on, "left_semi").dropDuplicates(["doc_id", mine])
         out = out.join(rows(repeated), on, "left_anti").union(once)
     return out.select(*docs.columns)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import _SPACE, U64, materialise, mix64, text_bytes
+from foldspark.llm.common import _SPACE, U64, materialise, mix64, text_bytes, unused_name
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -150,5 +150,7 @@ def apply_mix(docs: DataFrame) -> DataFrame:
 
     Documents at the two ends of a shard's run are taken in part; they count as taken once more if at least half is.
     """
-    copies = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("n")).where("n > 0").select(F.col("doc_id").alias("taken_id"), F.explode(F.expr("sequence(1, n)")).alias("copy"))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("taken_id"))).select(*(docs[c] for c in docs.columns))
+    of_id, copy = unused_name(docs, "of_id"), unused_name(docs, "copy")
+    often = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("n")).where("n > 0")
+    copies = often.select(F.col("doc_id").alias(of_id), F.explode(F.expr("sequence(1, n)")).alias(copy))
+    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col(of_id))).select(*docs.columns)
