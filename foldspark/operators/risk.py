@@ -59,14 +59,14 @@ def run(sharded: DataFrame, deliveries: DataFrame, marks: DataFrame, failed: Dat
     unpriced_symbols is a number; `unpriced` lists them, as rows.
     """
     parts = shard_partials(sharded, project(deliveries), marks, failed)
-    fine = ~F.col("failed")
-    total = parts.agg(
-        F.coalesce(F.sum(F.when(fine, F.col("market_value"))), F.lit(0)).cast(AMOUNT).alias("market_value"),
-        F.coalesce(F.sum(F.when(fine, F.col("realized_cash"))), F.lit(0)).cast(AMOUNT).alias("realized_cash"),
-        F.coalesce(F.sum(F.when(fine, F.col("valued"))), F.lit(0)).alias("valued"),
-        F.count("*").alias("shards"),
-        F.count(F.when(~fine, 1)).alias("failed_shards"),
+    # one row a shard and unpriced symbol, so that one pass gives the sums and the distinct symbols
+    rows = parts.select("*", F.posexplode_outer("unpriced").alias("place", "symbol"))
+    shard, fine = F.coalesce("place", F.lit(0)) == 0, ~F.col("failed")
+    total = rows.agg(
+        *(F.coalesce(F.sum(F.when(shard & fine, F.col(c))), F.lit(0)).cast(AMOUNT).alias(c) for c in ("market_value", "realized_cash")),
+        F.coalesce(F.sum(F.when(shard & fine, F.col("valued"))), F.lit(0)).alias("valued"),
+        F.count(F.when(shard, 1)).alias("shards"),
+        F.count(F.when(shard & ~fine, 1)).alias("failed_shards"),
+        F.count_distinct(F.when(fine, F.col("symbol"))).alias("unpriced_symbols"),
     )
-    distinct = parts.where(fine).select(F.explode("unpriced").alias("symbol")).distinct().agg(F.count("*").alias("n"))
-    total = total.withColumn("unpriced_symbols", distinct.scalar())
     return total.withColumns({"total": (F.col("market_value") + F.col("realized_cash")).cast(AMOUNT), "is_complete": F.col("failed_shards") == 0, "is_fully_priced": F.col("unpriced_symbols") == 0})
