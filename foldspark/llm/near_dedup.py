@@ -118,20 +118,8 @@ def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
     for batch in batches:
         for at, end, row, h in _sets(batch.column(1), width):
             cuts = np.searchsorted(row, np.arange(end - at + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), *(pa.array([x[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for x in (h, (h >> U64(32)).astype(np.uint32)))], names=["doc_id", "shingles", "short"])
-
-
-def _confirm(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ok = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            if len(x) > len(y):
-                x, y = y, x
-            if 100 * len(x) >= similarity * len(y):
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                ok[i] = 100 * both >= similarity * (len(x) + len(y) - both)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "ok"])
+            short = (h >> U64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h.view(np.int64))), pa.array([short[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["doc_id", "shingles", "short"])
 
 
 def _compare_blocks(table: pa.Table, similarity: int) -> pa.Table:
@@ -175,8 +163,10 @@ def _verify(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """(a, b, ok) of candidate pairs (a, b), from the full sets."""
     full = sets.select("doc_id", "shingles")
     left = pairs.join(full.withColumnsRenamed({"doc_id": "a", "shingles": "x"}), "a")
-    both = left.join(full.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
-    return materialise(both.mapInArrow(partial(_confirm, similarity=similarity), "a long, b long, ok boolean"), "verified")
+    both = left.join(full.withColumnsRenamed({"doc_id": "b", "shingles": "y"}), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    counted = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), common.alias("common"))
+    return materialise(counted.select("a", "b", (100 * F.col("common") >= similarity * (F.col("sizes") - F.col("common"))).alias("ok")), "verified")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: int = SIMILARITY) -> DataFrame:
@@ -197,7 +187,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: int
     members = materialise(placed.join(shared, "bucket"), "members")
 
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialise(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_full_sets, width=width), "doc_id long, shingles binary, short binary"), "sets")
+    sets = materialise(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_full_sets, width=width), "doc_id long, shingles array<long>, short binary"), "sets")
 
     stars = members.where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     tried = _verify(stars, sets, similarity)
