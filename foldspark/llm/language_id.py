@@ -229,27 +229,41 @@ def learn(docs: DataFrame) -> Model:
 # ---------------------------------------------------------------- prediction
 
 
+def _label(texts: list[str | None], model: Model, intercept: np.ndarray, m: np.ndarray) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    names, scores = [], []
+    for _, some in _chunks(texts):
+        if not model.langs:
+            names += ["und"] * len(some)
+            scores += [0.0] * len(some)
+            continue
+        doc, grams, has_letter, starts = ngrams(some)
+        total = np.zeros((len(some), m.shape[1]))
+        if len(doc):
+            full = np.flatnonzero(np.diff(np.r_[starts, len(doc)]))
+            total[full] = np.add.reduceat(m[grams[0]] + m[grams[1]] + m[grams[2]], starts[full])
+        p = softmax((total[:, :-1] * (SCALE / np.maximum(total[:, -1:], 1e-12)) + intercept) / model.temperature)
+        best = p.argmax(1)
+        names += [model.langs[k] if ok else "und" for k, ok in zip(best, has_letter, strict=True)]
+        scores += np.where(has_letter, p[np.arange(len(p)), best], 0.0).tolist()
+    return names, scores
+
+
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    intercept, m = model.table()
+    table = model.table()
     for batch in batches:
-        names, scores = [], []
-        for _, texts in _chunks(batch.column(2).to_pylist()):
-            if not model.langs:
-                names += ["und"] * len(texts)
-                scores += [0.0] * len(texts)
-                continue
-            doc, grams, has_letter, starts = ngrams(texts)
-            total = np.zeros((len(texts), m.shape[1]))
-            if len(doc):
-                some = np.flatnonzero(np.diff(np.r_[starts, len(doc)]))
-                total[some] = np.add.reduceat(m[grams[0]] + m[grams[1]] + m[grams[2]], starts[some])
-            p = softmax((total[:, :-1] * (SCALE / np.maximum(total[:, -1:], 1e-12)) + intercept) / model.temperature)
-            best = p.argmax(1)
-            names += [model.langs[k] if ok else "und" for k, ok in zip(best, has_letter, strict=True)]
-            scores += np.where(has_letter, p[np.arange(len(p)), best], 0.0).tolist()
+        names, scores = _label(batch.column(2).to_pylist(), model, *table)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
 
+def _keep(batches: Iterator[pa.RecordBatch], model: Model, at: int, min_score: float) -> Iterator[pa.RecordBatch]:
+    """The rows whose text, column `at`, has a recognised language."""
+    table = model.table()
+    for batch in batches:
+        names, scores = _label(batch.column(at).to_pylist(), model, *table)
+        yield batch.filter(pa.array([n != "und" and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every whole text.
 
@@ -267,6 +281,8 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def drop_unknown(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents with a recognised language, with all their columns: not `und`, and a score of min_score at least."""
-    gone = language_id(docs).where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents with a recognised language, with all their columns: not `und`, and a score of min_score at least.
+
+    Each row is judged where it is, so rows without doc_id and repeated rows are too, and no text is shuffled.
+    """
+    return docs.mapInArrow(partial(_keep, model=learn(docs), at=docs.columns.index("text"), min_score=min_score), docs.schema)
