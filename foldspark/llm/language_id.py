@@ -41,10 +41,10 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, three arrays' buckets as one 3 x n matrix, ...) of the characters of all texts.
+    """(doc, grams, has_letter, starts) of all texts' characters.
 
-    Returns doc, grams, has_letter, starts: doc[i] is the text of character i, grams[k - 1, i] the bucket of the k-gram
-    that ends there (0: none). has_letter says which texts have a letter; starts[d] is text d's first character.
+    doc[i] is the text of character i and grams[k - 1, i] the bucket of the k-gram that ends there (0: none). has_letter
+    says which texts have a letter; starts[d] is text d's first character.
     """
     word, letter = _classes()
     low = [(t or "").lower() for t in texts]

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foldspark.llm import byte_bpe, chat_format, embedding_dedup, exact_dedup, language_id, mixing, near_dedup, quality, token_files, url_filter
+from foldspark.llm.url_filter_sql import judge_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_url_filter": judge_sql(),
     "op5_embedding_dedup": """
         WITH RECURSIVE usable AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings

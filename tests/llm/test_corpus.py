@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foldspark.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, near_dedup, quality, url_filter
@@ -26,7 +27,7 @@ def test_language_id_learns_and_holds_out(spark, odd_docs, odd_rows, no_docs):
     assert np.mean([got[k].lang_pred == lang for k, _, lang in many if got[k].held_out]) > 0.97
     assert all(0 <= r.score <= 1 for r in got.values())
     # what is held out cannot teach: other labels there change nothing
-    lied = docs.withColumn("lang", __import__("pyspark.sql.functions", fromlist=["x"]).expr("case when crc32(cast(doc_id as string)) % 4 = 2 then 'xx' else lang end"))
+    lied = docs.withColumn("lang", F.expr("case when crc32(cast(doc_id as string)) % 4 = 2 then 'xx' else lang end"))
     assert sorted(language_id.language_id(lied).collect()) == sorted(got.values())
 
     odd = language_id.language_id(odd_docs).collect()
