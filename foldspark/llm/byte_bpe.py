@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -19,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Distinct pieces whose ids a task keeps; beyond that it starts afresh.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 200_000
 #: Cells of one padded matrix.
 MATRIX_CELLS = 1 << 18
 _NONE = np.int32(1 << 30)
@@ -76,7 +77,7 @@ class ByteBpe:
         # Every way to cut a token into two tokens is a pair that may merge into it.
         pairs = [(self.rank[t[:k]], self.rank[t[k:]], i) for t, i in self.rank.items() for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank]
         self.pairs = PairTable(*np.array(pairs, np.int64).T.reshape(3, -1))
-        self.memo: dict[str, np.ndarray] = {}
+        self.memo: dict[str, bytes] = {}  # ids as 32-bit integers
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.starts = np.r_[0, np.cumsum(self.lengths)]
@@ -147,12 +148,11 @@ class ByteBpe:
         whole = [known.get(b) for b in raw]  # a piece that is a token is its own encoding
         for p, i in zip(fresh, whole, strict=True):
             if i is not None:
-                memo[p] = np.array([i], np.int32)
+                memo[p] = i.to_bytes(4, sys.byteorder)
         rest = [k for k, i in enumerate(whole) if i is None]
         for k, ids in zip(rest, self.merge([raw[k] for k in rest]), strict=True):
-            memo[fresh[k]] = ids
-        none = np.zeros(0, np.int32)
-        return [np.concatenate([memo[p] for p in pieces]) if pieces else none for pieces in split]
+            memo[fresh[k]] = ids.tobytes()
+        return [np.frombuffer(b"".join(map(memo.__getitem__, pieces)), np.int32) for pieces in split]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for."""

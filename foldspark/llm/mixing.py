@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import _SPACE, U64, materialise, mix64, text_bytes, unused_name
+from foldspark.llm.common import _SPACE, U64, materialise, mix64, row_chunks, text_bytes, unused_name
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
@@ -29,17 +29,21 @@ SEED = 17
 def word_counts(column: pa.Array) -> np.ndarray:
     """Number of `[^\\x20\\x09-\\x0D]+` in each text; null: 0."""
     data, offsets = text_bytes(column)
-    inside = ~_SPACE[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    first = offsets[:-1][np.diff(offsets) > 0]
-    begins[first] = inside[first]
-    return np.diff(np.r_[0, np.cumsum(begins)][offsets])
+    out = np.zeros(len(column), np.int64)
+    for s, e in row_chunks(offsets):
+        at = offsets[s : e + 1] - offsets[s]
+        inside = ~_SPACE[data[offsets[s] : offsets[e]]]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        first = at[:-1][np.diff(at) > 0]
+        begins[first] = inside[first]
+        out[s:e] = np.diff(np.r_[0, np.cumsum(begins)][at])
+    return out
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(word_counts(batch.column(3)), pa.int64())], names=["doc_id", "source", "key", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(word_counts(batch.column(3)))], names=["doc_id", "source", "key", "size"])
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS) -> dict[str | None, float]:
@@ -117,40 +121,50 @@ def _mix_shard(table: pa.Table, goal: dict[str | None, float], size: dict[str |
         if total:
             r = int(mix64(np.array([seed * 1_000_003 + shard * 8191 + k], U64))[0])
             taken[at] = take_run(words[at], min(int(quotas[k]) * block, most * total), r % -(-total // block) * block)
-    return pa.table([doc_id, pa.array(words), source, pa.array(taken)], names=["doc_id", "size", "source", "taken"])
+    return pa.table([doc_id, key, pa.array(words), source, pa.array(taken)], names=["doc_id", "key", "size", "source", "taken"])
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
-    """One row for each document: (doc_id, size, source_size, target, taken).
+def _key(seed: int) -> Column:
+    """What places a document: equal for rows that repeat doc_id and text."""
+    return F.xxhash64(F.lit(seed), "doc_id", "text")
 
-    size is the number of words `[^\\x20\\x09-\\x0D]+`; null and empty texts have 0 and nothing of them is taken. taken is
-    the number of words that the mix takes of the document, repeats counted; it never exceeds `most` times size. A null
-    source is a source. Repeated rows count each. The order of equal hashes is by doc_id and size, so reruns agree. An
-    empty table gives no rows. Only doc_id, text and source are read. The sources' names must fit in memory.
-    """
-    spark = docs.sparkSession
-    measured = docs.select("doc_id", "source", F.xxhash64(F.lit(seed), "doc_id", "text").alias("key"), "text").mapInArrow(_sizes, "doc_id long, source string, key long, size long")
+
+def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, block: int, seed: int) -> tuple[DataFrame, dict, dict]:
+    """(doc_id, key, size, source, taken) rows, and the size and target of each source."""
+    measured = docs.select("doc_id", "source", _key(seed).alias("key"), "text").mapInArrow(_sizes, "doc_id long, source string, key long, size long")
     measured = materialise(measured, "sizes")
     stats = measured.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     size = {r["source"]: int(r["size"]) for r in stats}
     goal = targets(size, weights, most)
     shards = max(1, -(-sum(r["n"] for r in stats) // SHARD_DOCS))
-    dealt = measured.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
 
     def mix_shard(table: pa.Table) -> pa.Table:
         return _mix_shard(table, goal, size, block, most, seed)
 
-    taken = dealt.groupBy("shard").applyInArrow(mix_shard, "doc_id long, size long, source string, taken long")
-    facts = spark.createDataFrame([(s, size[s], goal[s]) for s in size], "of string, source_size long, target double")
+    dealt = measured.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(mix_shard, "doc_id long, key long, size long, source string, taken long"), size, goal
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """One row for each document: (doc_id, size, source_size, target, taken).
+
+    size is the number of words `[^\\x20\\x09-\\x0D]+`; null and empty texts have 0 and nothing of them is taken. taken is
+    the number of words that the mix takes of the document, repeats counted; it never exceeds `most` times size. A null
+    source is a source. Repeated rows count each. The order of equal hashes is by doc_id and size, so reruns agree. An
+    empty table gives no rows. Only doc_id, text and source are read. The sources' names must fit in memory.
+    """
+    taken, size, goal = _taken(docs, weights, most, block, seed)
+    facts = docs.sparkSession.createDataFrame([(s, size[s], goal[s]) for s in size], "of string, source_size long, target double")
     return taken.join(facts, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def apply_mix(docs: DataFrame) -> DataFrame:
+def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with all its columns.
 
     Documents at the two ends of a shard's run are taken in part; they count as taken once more if at least half is.
     """
-    of_id, copy = unused_name(docs, "of_id"), unused_name(docs, "copy")
-    often = mix(docs).where("taken > 0").groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("n")).where("n > 0")
-    copies = often.select(F.col("doc_id").alias(of_id), F.explode(F.expr("sequence(1, n)")).alias(copy))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col(of_id))).select(*docs.columns)
+    mine, key, copy = (unused_name(docs, c) for c in ("mix_key", "of_key", "copy"))
+    taken, _, _ = _taken(docs, weights, most, block, seed)
+    often = taken.where("taken > 0").groupBy("key").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("n")).where("n > 0")
+    copies = often.select(F.col("key").alias(key), F.explode(F.expr("sequence(1, n)")).alias(copy))
+    return docs.withColumn(mine, _key(seed)).join(copies, F.col(mine) == F.col(key)).select(*docs.columns)
