@@ -236,7 +236,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     on = F.col("doc_id").eqNullSafe(F.col(of_id)) & (F.col(mine) == F.col(of_text))
 
     def rows(which: DataFrame) -> DataFrame:
-        return which.select(F.col("doc_id").alias(of_id), F.col("text_sha256").alias(of_text)).distinct()
+        # a row a document, so without a bound: never to be broadcast
+        return which.select(F.col("doc_id").alias(of_id), F.col("text_sha256").alias(of_text)).distinct().hint("merge")
 
     out = hashed.join(rows(decided.where(~F.col("kept"))), on, "left_anti")
     repeated = decided.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")

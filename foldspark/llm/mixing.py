@@ -166,5 +166,5 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
     mine, key, copy = (unused_name(docs, c) for c in ("mix_key", "of_key", "copy"))
     taken, _, _ = _taken(docs, weights, most, block, seed)
     often = taken.where("taken > 0").groupBy("key").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("n")).where("n > 0")
-    copies = often.select(F.col("key").alias(key), F.explode(F.expr("sequence(1, n)")).alias(copy))
+    copies = often.select(F.col("key").alias(key), F.explode(F.expr("sequence(1, n)")).alias(copy)).hint("merge")  # a row a document: never to be broadcast
     return docs.withColumn(mine, _key(seed)).join(copies, F.col(mine) == F.col(key)).select(*docs.columns)

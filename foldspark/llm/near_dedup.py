@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: int
     shared = placed.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low < high").drop("high")
     members = materialise(placed.join(shared, "bucket"), "members")
 
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = members.select(F.col("rep").alias("doc_id")).distinct().hint("merge")
     sets = materialise(texts.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(partial(_full_sets, width=width), "doc_id long, shingles array<long>, short binary"), "sets")
 
     stars = members.where("rep > low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
@@ -223,5 +223,5 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, similarity: int
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The documents that `near_duplicates` keeps, one of each group, with all their columns."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").hint("merge")  # a row a document: never to be broadcast
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
