@@ -4,7 +4,9 @@ Each source has a weight; the targets share the size of the whole corpus and no
 source. Documents are dealt by hash into shards of about SHARD_DOCS. A shard's blocks of BLOCK_WORDS go to its sources by
 highest quotients of what the targets ask of the shard, which gives integer quotas. A source's documents in a shard are
 laid end to end in a seeded order, and the quota is a cyclic run of blocks from a seeded one: all but the two documents at
-the run's ends are taken whole. Only one row a source comes to the driver.
+the run's ends are taken whole. In the mixed corpus, where all are whole, a document is there as often as the run passes
+its middle word, whose chance is the run's share of the source for documents of any length. Only one row a source comes to
+the driver.
 """
 
 from __future__ import annotations
@@ -102,8 +104,14 @@ def take_run(sizes: np.ndarray, quota: int, start: int) -> np.ndarray:
     return whole * sizes + overlap(start, min(start + rest, total)) + overlap(0, max(0, start + rest - total))
 
 
+def passes(words: np.ndarray, total: int, quota: int, start: int) -> np.ndarray:
+    """How often the run of `take_run` passes each of the given words of all `total`."""
+    whole, rest = divmod(quota, total)
+    return whole + ((words - start) % total < rest)
+
+
 def _mix_shard(table: pa.Table, goal: dict[str | None, float], size: dict[str | None, int], block: int, most: int, seed: int) -> pa.Table:
-    """Taken words of one shard's documents."""
+    """Taken words and whole copies of one shard's documents. Rows of one key are one document here: all or none get a copy."""
     doc_id, source, key, words, shard = (table.column(k).combine_chunks() for k in ("doc_id", "source", "key", "size", "shard"))
     names = sorted({s for s in source.to_pylist() if s is not None}) + ([None] if source.null_count else [])
     number = {s: k for k, s in enumerate(names)}
@@ -113,15 +121,20 @@ def _mix_shard(table: pa.Table, goal: dict[str | None, float], size: dict[str |
     held = np.bincount(code, weights=words, minlength=len(names))
     claims = np.array([held[k] * goal[s] / size[s] if size[s] else 0.0 for s, k in number.items()])
     quotas = sainte_lague(claims, round(claims.sum() / block))
-    taken = np.zeros(len(words), np.int64)
+    taken, copies = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
     for k in range(len(names)):
         at = np.flatnonzero(code == k)
         at = at[np.lexsort((words[at], ids[at], np.asarray(key)[at]))]
         total = int(words[at].sum())
         if total:
             r = int(mix64(np.array([seed * 1_000_003 + shard * 8191 + k], U64))[0])
-            taken[at] = take_run(words[at], min(int(quotas[k]) * block, most * total), r % -(-total // block) * block)
-    return pa.table([doc_id, key, pa.array(words), source, pa.array(taken)], names=["doc_id", "key", "size", "source", "taken"])
+            run = min(int(quotas[k]) * block, most * total), r % -(-total // block) * block
+            taken[at] = take_run(words[at], *run)
+            _, first, document = np.unique(np.asarray(key)[at], return_index=True, return_inverse=True)
+            length = np.add.reduceat(words[at], first)
+            middle = np.cumsum(length) - length + length // 2
+            copies[at] = np.where(length > 0, passes(middle, total, *run), 0)[document]
+    return pa.table([doc_id, key, pa.array(words), source, pa.array(taken), pa.array(copies)], names=["doc_id", "key", "size", "source", "taken", "copies"])
 
 
 def _key(seed: int) -> Column:
@@ -130,7 +143,7 @@ def _key(seed: int) -> Column:
 
 
 def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, block: int, seed: int) -> tuple[DataFrame, dict, dict]:
-    """(doc_id, key, size, source, taken) rows, and the size and target of each source."""
+    """(doc_id, key, size, source, taken, copies) rows, and the size and target of each source."""
     measured = docs.select("doc_id", "source", _key(seed).alias("key"), "text").mapInArrow(_sizes, "doc_id long, source string, key long, size long")
     measured = materialise(measured, "sizes")
     stats = measured.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -142,7 +155,7 @@ def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, block: int, see
         return _mix_shard(table, goal, size, block, most, seed)
 
     dealt = measured.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(mix_shard, "doc_id long, key long, size long, source string, taken long"), size, goal
+    return dealt.groupBy("shard").applyInArrow(mix_shard, "doc_id long, key long, size long, source string, taken long, copies long"), size, goal
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
@@ -161,10 +174,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPO
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """The mixed corpus: each document as often as the mix takes it, with all its columns.
 
-    Documents at the two ends of a shard's run are taken in part; they count as taken once more if at least half is.
+    Documents at the two ends of a shard's run, or longer than it, are taken in part; such a one counts as taken once more if
+    its middle word is. So a document's expected copies are its source's target by its source's size, however long it is.
     """
     mine, key, copy = (unused_name(docs, c) for c in ("mix_key", "of_key", "copy"))
     taken, _, _ = _taken(docs, weights, most, block, seed)
-    often = taken.where("taken > 0").groupBy("key").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("n")).where("n > 0")
+    often = taken.where("copies > 0").groupBy("key").agg(F.max("copies").cast("int").alias("n"))
     copies = often.select(F.col("key").alias(key), F.explode(F.expr("sequence(1, n)")).alias(copy)).hint("merge")  # a row a document: never to be broadcast
     return docs.withColumn(mine, _key(seed)).join(copies, F.col(mine) == F.col(key)).select(*docs.columns)
