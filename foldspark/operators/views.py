@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.functions.expressions import blank, first_failure
@@ -72,18 +72,24 @@ def lag(authority: DataFrame, view: DataFrame) -> DataFrame:
 
 
 def tenant_commands(commands: DataFrame, heads: DataFrame) -> DataFrame:
-    """Decide (tenant_id, kind, company) commands, one a tenant: create is version 1, rename the head plus one.
+    """Decide (tenant_id, arrival, kind, company) commands in order of arrival, tenant by tenant.
 
-    Adds status, error and new_version. A blank company is a validation error; renaming an unknown tenant is not-found and
-    creating a known one a conflict.
+    Adds status, error and new_version: an accepted create makes the tenant known at version 1 and each accepted rename
+    raises its version by one, for the commands after it too. A blank company is a validation error; renaming an unknown
+    tenant is not-found and creating a known one a conflict. No two commands of a tenant have the same arrival.
     """
-    both = commands.join(heads.select("tenant_id", F.col("version").alias("_head")), "tenant_id", "left")
+    queue = Window.partitionBy("tenant_id").orderBy("arrival")
+    creates = (F.col("kind") == "create") & ~blank(F.col("company"))
+    created = F.coalesce(F.max(creates).over(queue.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    both = commands.join(heads.select("tenant_id", F.col("version").alias("_head")), "tenant_id", "left").withColumn("_known", F.col("_head").isNotNull() | created)
     status, error = first_failure(
         (blank(F.col("company")), "validation-error", "company"),
-        ((F.col("kind") == "rename") & F.col("_head").isNull(), "not-found", "tenant"),
-        ((F.col("kind") == "create") & F.col("_head").isNotNull(), "conflict", "exists"),
+        ((F.col("kind") == "rename") & ~F.col("_known"), "not-found", "tenant"),
+        ((F.col("kind") == "create") & F.col("_known"), "conflict", "exists"),
     )
-    return both.withColumns({"status": status, "error": error}).withColumn("new_version", F.when(F.col("status") == "ok", F.coalesce("_head", F.lit(0)) + 1).cast("bigint")).drop("_head")
+    decided = both.withColumns({"status": status, "error": error})
+    accepted = F.count(F.when(F.col("status") == "ok", 1)).over(queue.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return decided.withColumn("new_version", F.when(F.col("status") == "ok", F.coalesce("_head", F.lit(0)) + accepted).cast("bigint")).drop("_head", "_known")
 
 
 def user_commands(commands: DataFrame) -> DataFrame:

@@ -432,10 +432,29 @@ def view_lag(spark, sf_dir):
     "tenant_event latest",
 )
 def tenant_command_results(spark, sf_dir):
-    orders_ = read_table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("tenant_id")).agg(F.max("o_orderkey").alias("id"))
-    commands = orders_.select("tenant_id", F.when(F.col("id") % 3 == 0, "create").otherwise("rename").alias("kind"), F.when(F.col("id") % 17 == 0, " ").otherwise(F.concat(F.lit("new-"), "id")).alias("company"))
+    """The last order of each customer alone as a command; `tenant_command_log` decides all of them."""
+    return _decided(spark, sf_dir, read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("o_orderkey"))).drop("arrival")
+
+
+def _decided(spark: SparkSession, sf_dir: str, orders_: DataFrame) -> DataFrame:
+    """Orders as commands to the tenants of their customers, decided."""
+    id_ = F.col("o_orderkey")
+    commands = orders_.select(F.col("o_custkey").alias("tenant_id"), id_.alias("arrival"), F.when(id_ % 3 == 0, "create").otherwise("rename").alias("kind"), F.when(id_ % 17 == 0, " ").otherwise(F.concat(F.lit("new-"), id_)).alias("company"))
     heads = views.latest_by_version(given.tenant_events(spark, sf_dir)).withColumnRenamed("tenant_version", "version")
-    return views.tenant_commands(commands, heads).select("tenant_id", "kind", "company", "status", "new_version")
+    return views.tenant_commands(commands, heads).select("tenant_id", "arrival", "kind", "company", "status", "new_version")
+
+
+@query(
+    "tenant_command_log",
+    """RECURSIVE queue AS (SELECT o_custkey AS tenant_id, o_orderkey AS arrival, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, CASE WHEN o_orderkey % 3 = 0 THEN 'create' ELSE 'rename' END AS kind, CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE concat('new-', o_orderkey) END AS company FROM orders),
+    fold AS (SELECT q.tenant_id, CAST(0 AS BIGINT) AS n, CAST(max(l.tenant_version) AS BIGINT) AS head, '' AS status FROM queue q LEFT JOIN latest l USING (tenant_id) GROUP BY q.tenant_id
+        UNION ALL SELECT q.tenant_id, q.n, CASE WHEN trim(q.company) <> '' AND (q.kind = 'rename') = (f.head IS NOT NULL) THEN coalesce(f.head, 0) + 1 ELSE f.head END,
+            CASE WHEN trim(q.company) = '' THEN 'validation-error' WHEN q.kind = 'rename' AND f.head IS NULL THEN 'not-found' WHEN q.kind = 'create' AND f.head IS NOT NULL THEN 'conflict' ELSE 'ok' END FROM fold f JOIN queue q ON q.tenant_id = f.tenant_id AND q.n = f.n + 1)
+    SELECT tenant_id, arrival, kind, company, status, CASE WHEN status = 'ok' THEN head END AS new_version FROM queue JOIN fold USING (tenant_id, n)""",
+    "tenant_event latest",
+)
+def tenant_command_log(spark, sf_dir):
+    return _decided(spark, sf_dir, read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"))
 
 
 # ---------------------------------------------------------------- outbox and reactions
