@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+#: Bytes of text that a task handles at a time, one text at least.
+CHUNK_BYTES = 1 << 18
+#: Bytes of an Arrow batch, where the session has Spark's own default.
+BATCH_BYTES = 4 << 20
 
 
 # ---------------------------------------------------------------- scratch tables
@@ -56,6 +62,57 @@ def release(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+# ---------------------------------------------------------------- bounded memory of the tasks
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end after BATCH_BYTES; a session that has a bound of its own keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def trimmed(rows: Iterator) -> Iterator:
+    """The same items; after the last one, memory that this worker has freed goes back to the system."""
+    import pyarrow as pa
+
+    yield from rows
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, step, schema) -> DataFrame:
+    """`mapInArrow` with bounded batches, whose workers give their memory back after each task."""
+    bound_batches(df.sparkSession)
+
+    def run(batches: Iterator) -> Iterator:
+        return trimmed(step(batches))
+
+    return df.mapInArrow(run, schema)
+
+
+class Memo:
+    """What a worker remembers of words that it has seen: at most `most` of them and those of one call.
+
+    There are two generations. When the new one is half of all it becomes the old one, and a word of the old one that is
+    asked for again moves on, so frequent words stay.
+    """
+
+    def __init__(self, most: int):
+        self.half, self.new, self.old = most // 2, {}, {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words that aren't known; the others are in `new` until the next call, and these are meant to join them."""
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        rest = words.difference(self.new)
+        again = {w: self.old[w] for w in rest if w in self.old}
+        self.new.update(again)
+        return sorted(rest.difference(again))
+
+
 # ---------------------------------------------------------------- hashing and words
 
 
@@ -71,16 +128,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2**64
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
-        _POWERS[:] = [np.cumprod(np.r_[U64(1), np.full(size - 1, b, U64)]) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
-    return _POWERS[0][:n], _POWERS[1][:n]
+_STEP = U64(0xD6E8FEB86659FD93)
+#: Bytes of a word that are hashed all words at a time; a longer word is digested on its own.
+WORD_BYTES = 48
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +148,7 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def row_chunks(offsets: np.ndarray, size: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def row_chunks(offsets: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `size` bytes of text, one row at least."""
     at = 0
     while at < len(offsets) - 1:
@@ -107,26 +157,30 @@ def row_chunks(offsets: np.ndarray, size: int = 2 << 20) -> Iterator[tuple[int,
         at = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` (A-Z lower-cased) and the number of words of each row."""
-    rows = len(offsets) - 1
-    if not len(data):
-        return np.zeros(0, U64), np.zeros(rows, np.int64)
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word `[^\\x20\\x09-\\x0D]+`; no word spans two rows."""
     inside = ~_SPACE[data]
-    first = np.zeros(len(data), bool)
-    starts_of_rows = offsets[:-1][offsets[:-1] < offsets[1:]]
-    first[starts_of_rows] = True
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | first[1:]
-    start = np.flatnonzero(begins)
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:] | first[1:]
-    end = np.flatnonzero(ends) + 1
-    up, down = _powers(len(data))
-    total = np.r_[U64(0), np.cumsum(_BYTE[_LOWER[data]] * up)]
-    h = mix64((total[end] - total[start]) * down[start] + (end - start).astype(U64))
-    counts = np.diff(np.searchsorted(start, offsets))
-    return h, counts
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | first[1:-1]
+    ends[:-1] &= ~inside[1:] | first[1:-1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z lower-cased) and the number of words of each row."""
+    start, end = word_spans(data, offsets)
+    size = end - start
+    h = size.astype(U64)
+    going = np.flatnonzero(size <= WORD_BYTES)
+    for k in range(int(size[going].max(initial=0))):
+        going = going[size[going] > k]
+        h[going] = (h[going] ^ _BYTE[_LOWER[data[start[going] + k]]]) * _STEP
+    h = mix64(h)
+    for i in np.flatnonzero(size > WORD_BYTES).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(_LOWER[data[start[i] : end[i]]].tobytes(), digest_size=8).digest(), "little")
+    return h, np.diff(np.searchsorted(start, offsets))
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

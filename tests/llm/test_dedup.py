@@ -70,12 +70,18 @@ def shingles(text, width=5):
     return {tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
+def groups_of(rows, width=5, similarity=75):
+    """(document, first document of its group) for documents told apart by (doc_id, text)."""
+    sets = {(r[0], r[1]): shingles(r[1], width) for r in rows if r[0] is not None}
+    docs = sorted(sets, key=lambda d: (d[0], d[1] or ""))
+    linked = [(k, j) for k, a in enumerate(docs) for j, b in enumerate(docs[:k]) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    best = components(range(len(docs)), linked)
+    return {d: docs[best[k]] for k, d in enumerate(docs)}
+
+
 def expected_near(rows, width=5, similarity=75):
-    sets = {r[0]: shingles(r[1], width) for r in rows if r[0] is not None}
-    ids = sorted(sets)
-    linked = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
-    best = components(ids, linked)
-    return sorted(((r[0], len(shingles(r[1], width)), best.get(r[0]), r[0] == best.get(r[0])) for r in rows), key=repr)
+    of = {d: first[0] for d, first in groups_of(rows, width, similarity).items()}
+    return sorted(((r[0], len(shingles(r[1], width)), of.get((r[0], r[1])), r[0] == of.get((r[0], r[1]))) for r in rows), key=repr)
 
 
 def test_near_duplicates(spark, odd_docs, odd_rows, no_docs):
@@ -86,6 +92,38 @@ def test_near_duplicates(spark, odd_docs, odd_rows, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() < odd_docs.count()
 
 
+def test_a_reused_doc_id_joins_nothing(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    w, v = ([word() for _ in range(60)] for _ in range(2))
+    rows = [(1, " ".join(w)), (2, " ".join([*w[:-1], "x"])), (2, " ".join(v)), (5, " ".join([*v[:-1], "x"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()) == expected_near(rows)
+    assert sorted(tuple(r) for r in near_dedup.drop_near_copies(docs).collect()) == sorted([rows[0], rows[2]])
+
+
+def test_random_tables_with_reused_ids_and_repeated_rows(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        bases = [[f"w{rng.randrange(10**6)}" for _ in range(rng.randint(3, 80))] for _ in range(6)]
+        rows = []
+        for _ in range(60):
+            words = list(rng.choice(bases))
+            for _ in range(rng.choice([0, 0, 1, 3])):
+                words[rng.randrange(len(words))] = "new"
+            rows.append((rng.choice([None, *range(20)]), " ".join(words)))
+        rows += rng.choices(rows, k=12)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect()]
+        want = expected_near(rows)
+        assert sorted(got, key=repr) == want
+        kept = near_dedup.drop_near_copies(docs).collect()
+        named = [r for r in kept if r.doc_id is not None]
+        assert len(named) == len({tuple(r) for r in named}) and sum(r.doc_id is None for r in kept) == sum(r[0] is None for r in rows)
+        of = groups_of([tuple(r) for r in rows])
+        assert sorted(of[tuple(r)] for r in named) == sorted(set(of.values()))  # one of each group
+
+
 @pytest.mark.parametrize("small_bucket", [0, 32])
 def test_a_large_group_of_near_copies(spark, monkeypatch, small_bucket):
     """A base and copies whose links are close to the threshold, compared as pairs and in small blocks."""
