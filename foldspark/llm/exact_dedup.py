@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import U64, materialise, mix64, unused_name
+from foldspark.llm.common import U64, map_arrow, materialise, mix64, unused_name
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -210,8 +210,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def build_index(hashed: DataFrame, shards: int) -> DataFrame:
     """Live entries (digest, keep_id, group_size) of (doc_id, digest) rows: each text's largest doc_id and its rows."""
-    partial = hashed.select("digest", F.col("doc_id").alias("keep_id")).mapInArrow(_combine, _ENTRY)
-    return partial.repartition(shards, "digest").mapInArrow(_index_shard, _ENTRY)
+    partial = map_arrow(hashed.select("digest", F.col("doc_id").alias("keep_id")), _combine, _ENTRY)
+    return map_arrow(partial.repartition(shards, "digest"), _index_shard, _ENTRY)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

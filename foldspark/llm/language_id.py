@@ -6,7 +6,7 @@ L1 and an L2 penalty leaves most weights at zero. A temperature, fitted on train
 the scores into probabilities.
 
 Document frequencies come from all rows that may be learned from. The weights are fitted by one task on a bounded sample
-of SAMPLE_PER_LANGUAGE documents a language (an expected number; the choice hashes doc_id).
+of SAMPLE_PER_LANGUAGE texts a language (an expected number; the choice hashes the text, and equal texts count once).
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import materialise
+from foldspark.llm.common import map_arrow, materialise
 
 BITS = 17
 SAMPLE_PER_LANGUAGE = 400
+RANKS = 1 << 62
 CHUNK_CHARS = 1 << 18
 SCALE = 30.0  # features of a text sum to this
 EPOCHS = 3
@@ -96,7 +97,8 @@ _LEARN = "kind string, bucket long, n long, lang string, grams binary, counts bi
 def _statistics(batches: Iterator[pa.RecordBatch], rates: dict[str, float]) -> Iterator[pa.RecordBatch]:
     """Document frequencies of a partition, and the counts of its sampled documents and of an excerpt of each."""
     schema = pa.schema([("kind", pa.string()), ("bucket", pa.int64()), ("n", pa.int64()), ("lang", pa.string()), ("grams", pa.binary()), ("counts", pa.binary()), ("rank", pa.int64())])
-    df, total = np.zeros(1 << BITS, np.int64), 0
+    df, seen, total = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool), 0
+    taken: set[tuple[str, int]] = set()
 
     def sampled(lang: str, grams: np.ndarray, rank: int) -> dict:
         g, n = np.unique(grams[grams > 0], return_counts=True)
@@ -110,12 +112,14 @@ def _statistics(batches: Iterator[pa.RecordBatch], rates: dict[str, float]) -> I
             for d, g in enumerate(_by_text(doc, grams, starts)):
                 if not has_letter[d]:
                     continue
-                seen = np.zeros(1 << BITS, bool)
                 seen[g] = True
-                df += seen
+                there = np.flatnonzero(seen)
+                df[there] += 1
+                seen[there] = False
                 total += 1
                 lang, rank = langs[at + d], ranks[at + d]
-                if rank < rates[lang] * (1 << 31):
+                if rank < rates[lang] * RANKS and (lang, rank) not in taken:
+                    taken.add((lang, rank))
                     rows.append(sampled(lang, g, rank))
                     words = texts[d].split()
                     begin = rank % max(1, len(words) - 5)
@@ -213,15 +217,15 @@ def learn(docs: DataFrame) -> Model:
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     rates = {k: min(1.0, SAMPLE_PER_LANGUAGE / n) for k, n in sizes.items()}
-    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))
-    gathered = materialise(known.select("text", "lang", rank.alias("rank")).mapInArrow(partial(_statistics, rates=rates), _LEARN), "language-statistics")
+    rank = F.pmod(F.xxhash64("text"), F.lit(RANKS))
+    gathered = materialise(map_arrow(known.select("text", "lang", rank.alias("rank")), partial(_statistics, rates=rates), _LEARN), "language-statistics")
     df = np.zeros(1 << BITS)
     for r in gathered.where("kind = 'df'").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_batches():  # a row a bucket at most
         df[np.asarray(r.column(0))] = np.asarray(r.column(1))
     idf = np.where(df > 0, np.log((1 + df[0]) / (1 + df)) + 1, 0)
     idf[0] = 0
-    sample = gathered.where("kind = 'text'").select("lang", "grams", "counts", "rank").coalesce(1)
-    fitted = sample.mapInArrow(partial(_fit, idf=idf, langs=langs), "class int, bucket long, weight double").toArrow()
+    sample = gathered.where("kind = 'text'").select("lang", "grams", "counts", "rank").distinct().coalesce(1)
+    fitted = map_arrow(sample, partial(_fit, idf=idf, langs=langs), "class int, bucket long, weight double").toArrow()
     c, b, w = (np.asarray(fitted.column(k)) for k in range(3))
     return Model(langs, idf, b[c >= 0], c[c >= 0], w[c >= 0], float(w[c < 0][0]) if len(w) else 1.0)
 
@@ -268,11 +272,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every whole text.
 
     A null text or one without a letter is `und` with score 0, and so is every text if nothing could be learned. Equal
-    texts get equal predictions. held_out says that crc32(doc_id as text) mod 4 is 2 (a null doc_id: false). Ties go to
+    texts get equal predictions, however long they are. held_out says that crc32(doc_id as text) mod 4 is 2 (a null doc_id: false). Ties go to
     the language that sorts first. Only doc_id and text are read.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(partial(_predict, model=model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(docs.select("doc_id", held.alias("held_out"), "text"), partial(_predict, model=model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -285,4 +289,4 @@ def drop_unknown(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
 
     Each row is judged where it is, so rows without doc_id and repeated rows are too, and no text is shuffled.
     """
-    return docs.mapInArrow(partial(_keep, model=learn(docs), at=docs.columns.index("text"), min_score=min_score), docs.schema)
+    return map_arrow(docs, partial(_keep, model=learn(docs), at=docs.columns.index("text"), min_score=min_score), docs.schema)

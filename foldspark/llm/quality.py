@@ -2,8 +2,8 @@
 
 Ten heuristics vote good, bad or nothing on each whole text. They overlap and none is trusted: expectation-maximisation
 estimates how accurate each is for good and for bad texts from the counts of the vote patterns of all documents (at most
-3**10 rows). The posteriors of a bounded sample of SAMPLE_DOCS documents (an expected number; the choice hashes doc_id)
-train a logistic scorer on hashed byte trigrams and the heuristics' binned measures, which scores every document.
+3**10 rows). The posteriors of a bounded sample of SAMPLE_DOCS texts (an expected number; the choice hashes the text, and
+equal texts count once) train a logistic scorer on hashed byte trigrams and the heuristics' binned measures, which scores every document.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldspark.llm.common import _SPACE, distinct_by_row, materialise, row_chunks, shingle_hashes, text_bytes, word_hashes
+from foldspark.llm.common import _SPACE, distinct_by_row, map_arrow, materialise, row_chunks, shingle_hashes, text_bytes, word_hashes
 
 BITS = 16
 SAMPLE_DOCS = 4000
+RANKS = 1 << 62
 SCALE = 20.0
 EPOCHS = 4
 RATE = 0.3
@@ -136,6 +137,7 @@ def _gather(batches: Iterator[pa.RecordBatch], rate: float) -> Iterator[pa.Recor
     """Counts of vote patterns, and the features of sampled documents."""
     schema = pa.schema([("kind", pa.string()), ("pattern", pa.int64()), ("n", pa.int64()), ("rank", pa.int64()), ("buckets", pa.binary()), ("values", pa.binary())])
     counts: dict[int, int] = {}
+    taken: set[int] = set()
     for batch in batches:
         rank = np.asarray(batch.column(0))
         data, offsets = text_bytes(batch.column(1))
@@ -146,10 +148,13 @@ def _gather(batches: Iterator[pa.RecordBatch], rate: float) -> Iterator[pa.Recor
             code = pattern(votes(m))
             for c, n in zip(*np.unique(code, return_counts=True), strict=True):
                 counts[int(c)] = counts.get(int(c), 0) + int(n)
-            chosen = np.flatnonzero(rank[s:e] < rate * (1 << 31))
+            chosen = np.flatnonzero(rank[s:e] < rate * RANKS)
             if len(chosen):
                 tri, binned = features(part, at, m)
                 for d in chosen:
+                    if int(rank[s + d]) in taken:
+                        continue
+                    taken.add(int(rank[s + d]))
                     g, n = np.unique(tri[at[d] : at[d + 1]], return_counts=True)
                     x = np.r_[n * (SCALE / max(1, at[d + 1] - at[d])), np.ones(binned.shape[1]), 1.0]
                     rows.append({"kind": "text", "pattern": int(code[d]), "rank": int(rank[s + d]), "buckets": np.r_[g, binned[d], 0].astype("<i4").tobytes(), "values": x.astype("<f4").tobytes()})
@@ -196,15 +201,17 @@ def quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: (doc_id, weak_label, score, keep).
 
     weak_label is the posterior of the votes alone and score the trained scorer's probability that the text is good; keep
-    says that it is `threshold` or more. A null text or one without words has score 0. Equal texts get equal scores. An
-    empty table gives no rows. Only doc_id and text are read.
+    says that it is `threshold` or more. A null text or one without words has score 0. Equal texts get equal scores, and
+    a score that ties with the threshold is kept. Texts are measured whole, however long. An empty table gives no rows. Only doc_id and text are read.
     """
     n = docs.count()
-    rank = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 31))
-    gathered = materialise(docs.select(rank.alias("rank"), "text").mapInArrow(partial(_gather, rate=min(1.0, SAMPLE_DOCS / max(1, n))), "kind string, pattern long, n long, rank long, buckets binary, values binary"), "weak-labels")
+    rank = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(RANKS))
+    gather = partial(_gather, rate=min(1.0, SAMPLE_DOCS / max(1, n)))
+    gathered = materialise(map_arrow(docs.select(rank.alias("rank"), "text"), gather, "kind string, pattern long, n long, rank long, buckets binary, values binary"), "weak-labels")
     table = gathered.where("kind = 'votes'").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
     model = WeakLabels(unpattern(np.asarray(table.column(0))), np.asarray(table.column(1)).astype(float))
-    fitted = gathered.where("kind = 'text'").select("rank", "buckets", "values", "pattern").coalesce(1).mapInArrow(partial(_train, model=model), "bucket long, weight double").toArrow()
+    sample = gathered.where("kind = 'text'").select("rank", "buckets", "values", "pattern").distinct().coalesce(1)
+    fitted = map_arrow(sample, partial(_train, model=model), "bucket long, weight double").toArrow()
     w = np.zeros(1 << BITS)
     w[np.asarray(fitted.column(0))] = np.asarray(fitted.column(1))
-    return docs.select("doc_id", "text").mapInArrow(partial(_score, model=model, w=w, threshold=threshold), "doc_id long, weak_label double, score double, keep boolean")
+    return map_arrow(docs.select("doc_id", "text"), partial(_score, model=model, w=w, threshold=threshold), "doc_id long, weak_label double, score double, keep boolean")
