@@ -1,12 +1,16 @@
 """Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks, then seeded block selection.
 
 Each source has a weight; the targets share the size of the whole corpus and no target exceeds MAX_EPOCHS times its
-source. Documents are dealt by hash into shards of about SHARD_DOCS. A shard's blocks of BLOCK_WORDS go to its sources by
-highest quotients of what the targets ask of the shard, which gives integer quotas. A source's documents in a shard are
-laid end to end in a seeded order, and the quota is a cyclic run of blocks from a seeded one: all but the two documents at
-the run's ends are taken whole. In the mixed corpus, where all are whole, a document is there as often as the run passes
-its middle word, whose chance is the run's share of the source for documents of any length. Only one row a source comes to
-the driver.
+source. Documents are dealt by hash into shards of about SHARD_DOCS. A source is dealt over as many of them as give it
+SHARD_BLOCKS blocks in each, one at least, so rounding to blocks is a small part of any quota. A shard's blocks of
+BLOCK_WORDS go to its sources by highest quotients of what the targets ask of the shard, which gives integer quotas; a
+source that lives in one shard alone has a partial last block, which ends where its target does. A source's documents in a
+shard are laid end to end in a seeded order, and the quota is a cyclic run of blocks from a seeded one: all but the two
+documents at the run's ends are taken whole. In the mixed corpus, where all are whole, a document is there as often as the
+run passes its middle word, whose chance is the run's share of the source for documents of any length. Only one row a
+source comes to the driver.
+
+Rows that repeat one another are counted first and dealt in bundles of BUNDLE_ROWS, so no shard gets more of them.
 """
 
 from __future__ import annotations
@@ -18,13 +22,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from foldspark.llm.common import _SPACE, U64, materialise, mix64, row_chunks, text_bytes, unused_name
+from foldspark.llm.common import _SPACE, U64, map_arrow, materialise, mix64, row_chunks, text_bytes, unused_name
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 BLOCK_WORDS = 64
 SHARD_DOCS = 512
+SHARD_BLOCKS = 64
+BUNDLE_ROWS = 64
+#: Copies of one row that a task writes out.
+COPIES_AT_ONCE = 1024
 SEED = 17
 
 
@@ -110,52 +119,60 @@ def passes(words: np.ndarray, total: int, quota: int, start: int) -> np.ndarray:
     return whole + ((words - start) % total < rest)
 
 
-def _mix_shard(table: pa.Table, goal: dict[str | None, float], size: dict[str | None, int], block: int, most: int, seed: int) -> pa.Table:
-    """Taken words and whole copies of one shard's documents. Rows of one key are one document here: all or none get a copy."""
-    doc_id, source, key, words, shard = (table.column(k).combine_chunks() for k in ("doc_id", "source", "key", "size", "shard"))
+def _mix_shard(table: pa.Table, block: int, most: int, seed: int) -> pa.Table:
+    """Taken words and whole copies of one shard's rows; a row of the table stands for `rows` of them."""
+    rows = np.asarray(table.column("rows").combine_chunks())
+    table = table.take(pa.array(np.repeat(np.arange(len(rows)), rows)))
+    doc_id, source, key, words, ratio, spread, shard = (table.column(k).combine_chunks() for k in ("doc_id", "source", "key", "size", "ratio", "spread", "shard"))
     names = sorted({s for s in source.to_pylist() if s is not None}) + ([None] if source.null_count else [])
     number = {s: k for k, s in enumerate(names)}
-    code = np.array([number[s] for s in source.to_pylist()])
-    words, shard = np.asarray(words), int(shard[0].as_py())
+    code = np.array([number[s] for s in source.to_pylist()], np.int64)
+    words, ratio, spread, shard = np.asarray(words), np.asarray(ratio), np.asarray(spread), int(shard[0].as_py())
     ids = np.asarray(doc_id.fill_null(-1))
-    held = np.bincount(code, weights=words, minlength=len(names))
-    claims = np.array([held[k] * goal[s] / size[s] if size[s] else 0.0 for s, k in number.items()])
-    quotas = sainte_lague(claims, round(claims.sum() / block))
+    claims = np.bincount(code, weights=words * ratio, minlength=len(names))
+    quotas = sainte_lague(claims, round(claims.sum() / block)) * block
     taken, copies = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
     for k in range(len(names)):
         at = np.flatnonzero(code == k)
         at = at[np.lexsort((words[at], ids[at], np.asarray(key)[at]))]
-        total = int(words[at].sum())
-        if total:
-            r = int(mix64(np.array([seed * 1_000_003 + shard * 8191 + k], U64))[0])
-            run = min(int(quotas[k]) * block, most * total), r % -(-total // block) * block
-            taken[at] = take_run(words[at], *run)
-            _, first, document = np.unique(np.asarray(key)[at], return_index=True, return_inverse=True)
-            length = np.add.reduceat(words[at], first)
-            middle = np.cumsum(length) - length + length // 2
-            copies[at] = np.where(length > 0, passes(middle, total, *run), 0)[document]
-    return pa.table([doc_id, key, pa.array(words), source, pa.array(taken), pa.array(copies)], names=["doc_id", "key", "size", "source", "taken", "copies"])
-
-
-def _key(seed: int) -> Column:
-    """What places a document: equal for rows that repeat doc_id and text."""
-    return F.xxhash64(F.lit(seed), "doc_id", "text")
-
-
-def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, block: int, seed: int) -> tuple[DataFrame, dict, dict]:
-    """(doc_id, key, size, source, taken, copies) rows, and the size and target of each source."""
-    measured = docs.select("doc_id", "source", _key(seed).alias("key"), "text").mapInArrow(_sizes, "doc_id long, source string, key long, size long")
+        size, total = words[at], int(words[at].sum())
+        quota = round(float(claims[k])) if spread[at[0]] == 1 else int(quotas[k])
+        r = int(mix64(np.array([seed * 1_000_003 + shard * 8191 + k], U64))[0])
+        run = min(quota, most * total), r % -(-total // block) * block
+        taken[at] = take_run(size, *run)
+        copies[at] = passes(np.cumsum(size) - size + size // 2, total, *run)
+    return pa.table([doc_id, key, pa.array(words), table.column("source_size"), table.column("target"), pa.array(taken), pa.array(copies)], names=["doc_id", "key", "size", "source_size", "target", "taken", "copies"])
+
+
+def _taken(docs: DataFrame, key: Column, weights: tuple[int, ...], most: int, block: int, seed: int) -> DataFrame:
+    """(doc_id, key, size, source_size, target, taken, copies): a row for each document."""
+    spark = docs.sparkSession
+    measured = map_arrow(docs.select("doc_id", "source", key.alias("key"), "text"), _sizes, "doc_id long, source string, key long, size long")
     measured = materialise(measured, "sizes")
-    stats = measured.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
+    stats = measured.groupBy("source").agg(F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("n")).collect()
     size = {r["source"]: int(r["size"]) for r in stats}
     goal = targets(size, weights, most)
     shards = max(1, -(-sum(r["n"] for r in stats) // SHARD_DOCS))
+    spread = {s: max(1, min(shards, int(goal[s] // (SHARD_BLOCKS * block)))) for s in size}
+    rows = [(s, size[s], goal[s], goal[s] / size[s] if size[s] else 0.0, spread[s]) for s in size]
+    facts = spark.createDataFrame(rows, "of string, source_size long, target double, ratio double, spread long")  # a row a source
+
+    def with_facts(rows: DataFrame) -> DataFrame:
+        return rows.join(facts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
     def mix_shard(table: pa.Table) -> pa.Table:
-        return _mix_shard(table, goal, size, block, most, seed)
+        return _mix_shard(table, block, most, seed)
 
-    dealt = measured.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(mix_shard, "doc_id long, key long, size long, source string, taken long, copies long"), size, goal
+    counted = measured.where("size > 0").groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("n"))
+    bundle = F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {BUNDLE_ROWS}"))).alias("bundle")
+    dealt = with_facts(counted.select("doc_id", "source", "key", "size", "n", bundle))
+    dealt = dealt.withColumn("rows", F.least(F.lit(BUNDLE_ROWS), F.col("n") - F.col("bundle") * BUNDLE_ROWS))
+    place = F.pmod(F.xxhash64("key", "bundle"), "spread") + F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(shards))
+    out = "doc_id long, key long, size long, source_size long, target double, taken long, copies long"
+    mixed = dealt.withColumn("shard", F.pmod(place, F.lit(shards))).groupBy("shard").applyInArrow(mix_shard, out)
+    nothing = F.lit(0).cast("long")
+    empty = with_facts(measured.where("size = 0")).select("doc_id", "key", "size", "source_size", "target", nothing.alias("taken"), nothing.alias("copies"))
+    return mixed.unionByName(empty)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
@@ -163,12 +180,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPO
 
     size is the number of words `[^\\x20\\x09-\\x0D]+`; null and empty texts have 0 and nothing of them is taken. taken is
     the number of words that the mix takes of the document, repeats counted; it never exceeds `most` times size. A null
-    source is a source. Repeated rows count each. The order of equal hashes is by doc_id and size, so reruns agree. An
-    empty table gives no rows. Only doc_id, text and source are read. The sources' names must fit in memory.
+    source is a source. Repeated rows count each, and what is taken of them together doesn't depend on their order. Equal
+    hashes are ordered by doc_id and size, so reruns agree. An empty table gives no rows. Only doc_id, text and source are
+    read. A text of any length is one document. The sources' names must fit in memory.
     """
-    taken, size, goal = _taken(docs, weights, most, block, seed)
-    facts = docs.sparkSession.createDataFrame([(s, size[s], goal[s]) for s in size], "of string, source_size long, target double")
-    return taken.join(facts, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", "taken")
+    return _taken(docs, F.xxhash64(F.lit(seed), "doc_id", "text"), weights, most, block, seed).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_EPOCHS, block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
@@ -176,9 +192,28 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = M
 
     Documents at the two ends of a shard's run, or longer than it, are taken in part; such a one counts as taken once more if
     its middle word is. So a document's expected copies are its source's target by its source's size, however long it is.
+    Of rows that are the same in all columns (but maps, which have no hash), the copies are added up.
     """
-    mine, key, copy = (unused_name(docs, c) for c in ("mix_key", "of_key", "copy"))
-    taken, _, _ = _taken(docs, weights, most, block, seed)
-    often = taken.where("copies > 0").groupBy("key").agg(F.max("copies").cast("int").alias("n"))
-    copies = often.select(F.col("key").alias(key), F.explode(F.expr("sequence(1, n)")).alias(copy)).hint("merge")  # a row a document: never to be broadcast
-    return docs.withColumn(mine, _key(seed)).join(copies, F.col(mine) == F.col(key)).select(*docs.columns)
+    own, key, n, part = (unused_name(docs, c) for c in ("mix_key", "of_key", "copies", "part"))
+    hashed = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    row = F.xxhash64(F.lit(seed), *map(_quoted, hashed))
+    taken = _taken(docs, row, weights, most, block, seed)
+    often = taken.where("copies > 0").groupBy("key").agg(F.sum("copies").alias("n"), F.count("*").alias("rows"))
+    often = materialise(often.select(F.col("key").alias(key), F.col("n").alias(n), "rows"), "copies")
+    keyed = docs.withColumn(own, row)
+    on = F.col(own) == F.col(key)
+    columns = list(map(_quoted, docs.columns))
+    # a row a document: never to be broadcast
+    single = keyed.join(often.where("rows = 1").drop("rows").hint("merge"), on).withColumn(part, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*columns)
+    repeated = often.where("rows > 1").drop("rows")
+    if repeated.isEmpty():
+        return single
+    # rows that repeat one another meet before the shuffle, and their copies are written out in parts
+    once = keyed.join(repeated.hint("merge"), on, "left_semi").groupBy(own).agg(*(F.first(_quoted(c)).alias(c) for c in docs.columns))
+    parts = once.join(repeated.hint("merge"), on).withColumn(part, F.explode(F.sequence(F.lit(0), F.expr(f"(`{n}` - 1) div {COPIES_AT_ONCE}"))))
+    parts = parts.repartition(own, part).withColumn(part, F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES_AT_ONCE), F.col(n) - F.col(part) * COPIES_AT_ONCE))))
+    return single.unionByName(parts.select(*columns))
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")

@@ -106,17 +106,34 @@ def test_runs_take_what_they_should():
             assert got.tolist() == want.tolist()
 
 
+def targets_by_hand(sizes):
+    """Weights 1, 2, 3 by code point, null last; shares stop at three times a source, one source at a time."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(order)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        open_ = [s for s in order if s not in fixed]
+        share = {s: (total - sum(fixed.values())) * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        worst = max(open_, key=lambda s: share[s] - 3 * sizes[s]) if open_ else None
+        if not open_ or share[worst] <= 3 * sizes[worst]:
+            return fixed | share
+        fixed[worst] = 3.0 * sizes[worst]
+
+
+def size_of(text):
+    return len(re.findall("[^\x20\x09-\x0D]+", text or ""))
+
+
 def test_mix(spark, odd_docs, odd_rows, no_docs):
-    size = lambda t: len(re.findall("[^\x20\x09-\x0D]+", t or ""))
     of_source = {}
     for r in odd_rows:
-        of_source[r[3]] = of_source.get(r[3], 0) + size(r[1])
-    goal = mixing.targets(of_source)
+        of_source[r[3]] = of_source.get(r[3], 0) + size_of(r[1])
+    goal = targets_by_hand(of_source)
     got = mixing.mix(odd_docs).collect()
     assert sorted(got, key=repr) == sorted(mixing.mix(odd_docs.repartition(7)).collect(), key=repr)
     source_of = {}
     for r in odd_rows:
-        source_of.setdefault((r[0], size(r[1])), r[3])
+        source_of.setdefault((r[0], size_of(r[1])), r[3])
     taken = dict.fromkeys(of_source, 0)
     for r in got:
         s = source_of[r.doc_id, r.size]
@@ -128,6 +145,34 @@ def test_mix(spark, odd_docs, odd_rows, no_docs):
     assert mixed.columns == odd_docs.columns and mixing.apply_mix(no_docs).count() == 0
 
 
+def test_mix_of_many_shards(spark):
+    """Rare short documents, a source of one word, a hot source, repeated rows and null keys, over some 100 shards."""
+    rng = random.Random(2)
+    rows = [(k, "w " * rng.choice([1, 3, 20, 60]), f"s{min(k % 7, 5)}") for k in range(50_000)]
+    rows += [(60_000 + k, "eight words are in each of these ones", "rare") for k in range(60)]
+    rows += [(70_000, "one", "tiny"), (None, None, None), (None, "no id " * 9, None), (80_001, None, "void"), (80_000, "", "void")]
+    rows += [(90_000, "the same row again and again", "s1")] * 3_000 + [(None, "no id " * 9, None)] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, held = {}, {}
+    for i, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + size_of(t)
+        held.setdefault((i, size_of(t)), s)
+    goal = targets_by_hand(sizes)
+    got = mixing.mix(docs).collect()
+    taken = dict.fromkeys(sizes, 0)
+    for r in got:
+        s = held[r.doc_id, r.size]
+        assert r.source_size == sizes[s] and r.target == pytest.approx(goal[s]) and 0 <= r.taken <= 3 * r.size
+        taken[s] += r.taken
+    assert len(got) == len(rows) and sum(sizes.values()) > 90 * 64 * 100
+    assert all(abs(taken[s] - goal[s]) <= max(mixing.BLOCK_WORDS, 0.01 * goal[s]) for s in sizes), (taken, goal)
+    assert taken["rare"] == 1440 and taken["tiny"] == 3
+    assert sorted(map(repr, got)) == sorted(map(repr, mixing.mix(docs.repartition(9)).collect()))
+    mixed = mixing.apply_mix(docs).groupBy("source").agg(F.sum(F.when(F.trim("text") == "", 0).otherwise(F.size(F.split(F.trim("text"), " ")))).alias("n")).collect()
+    words = {r.source: r.n for r in mixed}
+    assert all(words[s] == pytest.approx(goal[s], rel=0.02, abs=300) for s in sizes if goal[s])
+
+
 # ---------------------------------------------------------------- URL filter
 
 
@@ -284,11 +329,9 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     mixed = corpus_pipeline.STAGES[3][1](spark, docs, path)
     copies = {}
     for r in mixed.collect():
-        key = (r.doc_id, len(re.findall("[^\x20\x09-\x0D]+", r.text or "")))
-        copies[key] = copies.get(key, 0) + 1
-    taken = {(r.doc_id, r.size): (r.taken, r.size) for r in mixing.mix(docs).collect()}
-    assert mixed.columns == docs.columns
-    assert copies == {k: int(t / n + 0.5) for k, (t, n) in taken.items() if n and int(t / n + 0.5)}
+        copies[r.doc_id, size_of(r.text)] = copies.get((r.doc_id, size_of(r.text)), 0) + 1
+    assert mixed.columns == docs.columns and {k for k in copies} <= {(r.doc_id, size_of(r.text)) for r in docs.collect()}
+    assert all(0 < n <= 3 for n in copies.values())
     tokens = corpus_pipeline.STAGES[4][1](spark, mixed, path).collect()
     assert sum(r.n_tokens for r in tokens) == sum(len(r.ids) for r in tokens) and len(tokens) == sum(copies.values())
     whole = corpus_pipeline.run(spark, path)
