@@ -3,18 +3,30 @@
 import hashlib
 import zlib
 
+import random
+import string
+
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from foldspark.llm import byte_bpe, token_files
+from foldspark.llm import byte_bpe, common, token_files, word_tokens
 
 PATH, PATTERN = byte_bpe.default_vocabulary()
 BPE = byte_bpe.load(PATH, PATTERN)
 LIBRARY = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(BPE.tokens)}, special_tokens={})
-WORDS = token_files.load(token_files.default_vocabulary())
+FRESH = Tokenizer.from_file(token_files.default_vocabulary())
+WORDS = word_tokens.WordTokenizer(token_files.default_vocabulary())
+SMALL = word_tokens.WordTokenizer(token_files.default_vocabulary(), words=8)
+
+
+def encode(tokenizer, texts):
+    return [x.tolist() for x in tokenizer.encode(*common.text_bytes(pa.array(texts, pa.string())))]
 
 
 @settings(max_examples=300, deadline=None)
@@ -26,10 +38,39 @@ def test_byte_bpe_equals_the_library(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.characters(max_codepoint=255)) | st.text())
-def test_word_tokenizer_equals_the_library(text):
-    (ids,) = WORDS.encode([text])
-    assert ids.tolist() == WORDS.tokenizer.encode(text, add_special_tokens=False).ids
+@given(st.lists(st.text(st.characters(max_codepoint=255)) | st.text() | st.text("aBc'.,!1 <|>\n\x1c\x85\u0301"), max_size=4))
+def test_word_tokenizer_equals_the_library(texts):
+    want = [FRESH.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode(WORDS, texts) == want and encode(SMALL, texts) == want
+
+
+def test_word_tokenizer_on_odd_words():
+    texts = ["H\u0331 \u1e96 I\u0307 \u0130", "x" * 100 + " " + "X" * 100, "A\x1cB\x85C\xa0D", "\u212a\u2126 \ufb01 \u03a3\u03a3", None, "", " ", "don't 'S I'LL it's.'s"]
+    assert encode(WORDS, texts) == [FRESH.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_other_vocabularies_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, fresh = word_tokens.WordTokenizer(path), Tokenizer.from_file(path)
+    texts = ["Two words.", "  white  space\n\n", "<|endoftext|> x", None]
+    assert not other.by_word and WORDS.by_word
+    assert encode(other, texts) == [fresh.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_long_pieces_equal_the_library():
+    rng = random.Random(1)
+    for size, letters in ((2049, "ab"), (5000, "a"), (4000, "日本語"), (9000, string.ascii_lowercase), (1_000_000, string.ascii_letters)):
+        text = "".join(rng.choices(letters, k=size))
+        assert BPE.encode([text])[0].tolist() == LIBRARY.encode_ordinary(text)
+
+
+def test_memo_keeps_what_is_asked_for_again():
+    memo = common.Memo(4)
+    for k in range(50):
+        for w in memo.missing({"often", f"w{k}"}):
+            memo.new[w] = w.encode()
+        assert k == 0 or "often" in memo.new
+        assert len(memo.new) + len(memo.old) <= 6
 
 
 def test_long_runs_and_special_strings():
@@ -80,9 +121,10 @@ def test_token_files(spark, odd_docs, odd_rows, no_docs, monkeypatch):
     monkeypatch.setattr(token_files, "GROUP_IDS", 500)
     got = token_files.token_ids(odd_docs).collect()
     want, start = [], 0
+    assert sorted(got, key=repr) == sorted(token_files.token_ids(odd_docs.repartition(5)).collect(), key=repr)
     ids_of = {}
     for r in sorted(odd_rows, key=lambda r: (r[0] is not None, r[0] or 0)):
-        ids = [*WORDS.tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2]
+        ids = [*FRESH.encode(r[1] or "", add_special_tokens=False).ids, 2]
         ids_of.setdefault(r[0], []).append((len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         want.append((r[0], start, len(ids)))
         start += len(ids)
