@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldspark.llm import byte_bpe, chat_format, embedding_dedup, exact_dedup, language_id, mixing, near_dedup, quality, token_files, url_filter
+from foldspark.llm import byte_bpe, chat_calls, chat_format, embedding_dedup, exact_dedup, language_id, mixing, near_dedup, quality, token_files, url_filter
 from foldspark.llm.url_filter_sql import judge_sql
 
 
@@ -43,7 +43,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_chats(_table(spark, sf_dir, "conversations"))
+    """The table has no calls, so they are derived from its questions and answers, beside its own rows."""
+    return chat_format.format_chats(chat_calls.with_calls(_table(spark, sf_dir, "conversations")))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
