@@ -43,3 +43,13 @@ def normal_cdf(x: Column) -> Column:
 
 def normal_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2) / F.sqrt(2 * F.pi())
+
+
+def mint_id(prefix: str, *parts: Column) -> Column:
+    """An identifier that follows from what it names: the prefix and twelve hexadecimal digits of a hash of the parts."""
+    return F.concat(F.lit(prefix), F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12))
+
+
+def iso_utc(time: Column) -> Column:
+    """ISO-8601 text of a UTC time, with seven digits of the second and the offset."""
+    return F.concat(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSS"), F.lit("+00:00"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,12 +40,42 @@ def decode(events: DataFrame, registry: dict[str, str] = REGISTRY) -> DataFrame:
     return events.select("stream_id", "version", "event_type", known.alias("known"), *(F.coalesce(*cols).alias(name) for name, cols in members.items()))
 
 
-def upcast(events: DataFrame) -> DataFrame:
-    """Old deposits in today's form: the type's suffix goes and the currency is GBP. Stored rows stay as they are."""
-    old = F.col("event_type") == DEPOSITED_V1
-    body = F.from_json("payload", "pence bigint, reference string")
-    today = F.to_json(F.struct(body["pence"].alias("pence"), F.lit("GBP").alias("currency"), body["reference"].alias("reference")))
-    return events.withColumns({"payload": F.when(old, today).otherwise(F.col("payload")), "event_type": F.when(old, DEPOSITED).otherwise(F.col("event_type"))})
+def _deposit_in_pounds(payload: Column) -> Column:
+    body = F.from_json(payload, "pence bigint, reference string")
+    return F.to_json(F.struct(body["pence"].alias("pence"), F.lit("GBP").alias("currency"), body["reference"].alias("reference")))
+
+
+#: What turns an old event into the next form: its type -> (next type, next payload of a payload).
+Casters = dict[str, tuple[str, Callable[[Column], Column]]]
+CASTERS: Casters = {DEPOSITED_V1: (DEPOSITED, _deposit_in_pounds)}
+
+
+def hops(casters: Casters) -> int:
+    """The most steps from any type to its last form. A chain that comes back to a type is an error before any row is read."""
+    longest = 0
+    for kind in casters:
+        seen = [kind]
+        while seen[-1] in casters:
+            seen.append(casters[seen[-1]][0])
+            if seen[-1] in seen[:-1]:
+                raise ValueError(f"event types are cast in a circle: {' -> '.join(seen)}")
+        longest = max(longest, len(seen) - 1)
+    return longest
+
+
+def upcast(events: DataFrame, casters: Casters = CASTERS) -> DataFrame:
+    """Old events in their last form, step by step along the chains of `casters`. Stored rows stay as they are.
+
+    By default an old deposit loses its type's suffix and gets the currency GBP. Other types pass unchanged.
+    """
+    for _ in range(hops(casters)):
+        kind, payload = F.col("event_type"), F.col("payload")
+        next_kind, next_payload = kind, payload
+        for old, (new, cast) in casters.items():
+            next_kind = F.when(kind == old, new).otherwise(next_kind)
+            next_payload = F.when(kind == old, cast(payload)).otherwise(next_payload)
+        events = events.withColumns({"payload": next_payload, "event_type": next_kind})
+    return events
 
 
 def _change() -> Column:

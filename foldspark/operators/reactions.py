@@ -2,36 +2,43 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A reaction turns events (tenant_id, company, email, plan, correlation_id, attempt) into (what, correlation_id, status) rows.
+#: A reaction turns events (tenant_id, company, email, plan, correlation_id, ...) into (what, correlation_id, status) rows,
+#: which also keep the events' event_id where they have one.
 Reaction = Callable[[DataFrame], DataFrame]
 
 
-def _rows(events: DataFrame, text: str, status=None) -> DataFrame:
-    return events.select(F.concat(F.lit(text + " "), "company").alias("what"), "correlation_id", (status if status is not None else F.lit("ok")).alias("status"))
+def _rows(events: DataFrame, template: str, status: Column | None = None) -> DataFrame:
+    """One entry an event; the template names columns in braces, and what is null there is left out."""
+    parts = [F.coalesce(F.col(p[1:-1]).cast("string"), F.lit("")) if p.startswith("{") else F.lit(p) for p in re.split(r"(\{\w+\})", template) if p]
+    own = [c for c in events.columns if c == "event_id"]
+    return events.select(F.concat(*parts).alias("what"), "correlation_id", (status if status is not None else F.lit("ok")).alias("status"), *own)
 
 
 def analytics(events: DataFrame) -> DataFrame:
-    return _rows(events, "recorded signup of")
+    return _rows(events, "signup: {company} on {plan}")
 
 
 def cache_warmer(events: DataFrame) -> DataFrame:
-    return _rows(events, "warmed cache for")
+    return _rows(events, "warmed {tenant_id}")
 
 
 def trial_clock(events: DataFrame) -> DataFrame:
     """Only the standard plan has a trial; for the others there is nothing to do."""
-    return _rows(events.where(F.lower("plan") == "standard"), "started trial of")
+    return _rows(events.where(F.lower("plan") == "standard"), "trial started for {tenant_id} (14 days)")
 
 
 def welcome_email(events: DataFrame) -> DataFrame:
-    """Mail to companies whose name starts with `bounce` fails."""
-    return _rows(events, "welcomed", F.when(F.lower("company").startswith("bounce"), "FAILED").otherwise("ok"))
+    """Mail to companies whose name starts with `bounce` fails, and the journal says so."""
+    bounces = F.coalesce(F.lower("company").startswith("bounce"), F.lit(False))
+    good, bad = _rows(events.where(~bounces), "welcomed {email}"), _rows(events.where(bounces), "FAILED to email {email}", F.lit("FAILED"))
+    return good.unionByName(bad)
 
 
 REGISTRY: dict[str, Reaction] = {"analytics": analytics, "cache-warmer": cache_warmer, "trial-clock": trial_clock, "welcome-email": welcome_email}
@@ -54,12 +61,17 @@ def settle(results: DataFrame, max_attempts: int = 2) -> DataFrame:
 
 
 def with_retries(events: DataFrame, react: Reaction, max_attempts: int = 2) -> DataFrame:
-    """(what, correlation_id, status, attempt, outcome) rows of all attempts: what fails is tried again, at most so often."""
-    out, todo = [], events
+    """(what, correlation_id, status, event_id, attempt, outcome) rows of all attempts: what fails is tried again, at most so often.
+
+    An event is known by its event_id, and without such a column by all its values; correlation ids may be null or shared.
+    """
+    whole = F.sha2(F.to_json(F.struct(*events.columns)), 256)
+    out, todo = [], events if "event_id" in events.columns else events.withColumn("event_id", whole)
     for attempt in range(1, max_attempts + 1):
         done = settle(react(todo).withColumn("attempt", F.lit(attempt)), max_attempts)
         out.append(done)
-        todo = todo.join(done.where("outcome = 'retry'").select("correlation_id"), "correlation_id", "left_semi")
+        failed = done.where("outcome = 'retry'").select(F.col("event_id").alias("_failed"))
+        todo = todo.join(failed, F.col("event_id").eqNullSafe(F.col("_failed")), "left_semi")
     return reduce(DataFrame.unionByName, out)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.functions.expressions import blank
@@ -36,6 +36,13 @@ def shard_books(books: DataFrame, size: int, by: str | None = None) -> DataFrame
     return books.withColumn("shard", F.concat(F.lit("shard-"), F.floor((number - 1) / max(1, size)).cast("string")))
 
 
+def _spelled(symbols: Column) -> Column:
+    """Distinct ignoring case and sorted ignoring case, each in the spelling that sorts first."""
+    pairs = F.array_sort(F.transform(symbols, lambda s: F.struct(F.upper(s).alias("k"), s.alias("s"))))
+    first = F.filter(pairs, lambda p, i: (i == 0) | (p["k"] != F.get(pairs, i - 1)["k"]))
+    return F.transform(first, lambda p: p["s"])
+
+
 def shard_partials(sharded: DataFrame, positions: DataFrame, marks: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """One row a shard: market value of the priced, cash of all positions, positions valued, unpriced symbols, failed.
 
@@ -48,7 +55,7 @@ def shard_partials(sharded: DataFrame, positions: DataFrame, marks: DataFrame, f
         F.coalesce(F.sum("market_value"), F.lit(0)).cast(AMOUNT).alias("market_value"),
         F.coalesce(F.sum("realized_cash"), F.lit(0)).cast(AMOUNT).alias("realized_cash"),
         F.count(F.when(some & F.col("priced"), 1)).alias("valued"),
-        F.array_sort(F.collect_set(F.when(some & ~F.col("priced"), F.upper("symbol")))).alias("unpriced"),
+        _spelled(F.collect_set(F.when(some & ~F.col("priced"), F.col("symbol")))).alias("unpriced"),
         F.coalesce(F.max("_failed"), F.lit(False)).alias("failed"),
     )
 
@@ -56,7 +63,8 @@ def shard_partials(sharded: DataFrame, positions: DataFrame, marks: DataFrame, f
 def run(sharded: DataFrame, deliveries: DataFrame, marks: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """The firm's row: sums of the shards that succeeded, and apart from them how much of the firm they cover.
 
-    unpriced_symbols is a number; `unpriced` lists them, as rows.
+    unpriced and failed name the symbols without a mark and the shards that failed, sorted; a run's row grows with these
+    names only. unpriced_symbols and failed_shards are their numbers.
     """
     parts = shard_partials(sharded, project(deliveries), marks, failed)
     # one row a shard and unpriced symbol, so that one pass gives the sums and the distinct symbols
@@ -67,6 +75,8 @@ def run(sharded: DataFrame, deliveries: DataFrame, marks: DataFrame, failed: Dat
         F.coalesce(F.sum(F.when(shard & fine, F.col("valued"))), F.lit(0)).alias("valued"),
         F.count(F.when(shard, 1)).alias("shards"),
         F.count(F.when(shard & ~fine, 1)).alias("failed_shards"),
-        F.count_distinct(F.when(fine, F.col("symbol"))).alias("unpriced_symbols"),
+        F.array_sort(F.collect_set(F.when(shard & ~fine, F.col("shard")))).alias("failed_names"),
+        _spelled(F.collect_set(F.when(fine, F.col("symbol")))).alias("unpriced_names"),
     )
+    total = total.withColumnsRenamed({"failed_names": "failed", "unpriced_names": "unpriced"}).withColumn("unpriced_symbols", F.size("unpriced").cast("long"))
     return total.withColumns({"total": (F.col("market_value") + F.col("realized_cash")).cast(AMOUNT), "is_complete": F.col("failed_shards") == 0, "is_fully_priced": F.col("unpriced_symbols") == 0})

@@ -53,8 +53,18 @@ def evaluate_signups(signups: DataFrame) -> DataFrame:
     return reconcile(step_log(signups))
 
 
-def survivors(signups: DataFrame) -> DataFrame:
-    """(kind, survivors): tenants, accounts and users that exist after all signups, orphans included."""
+def _left(signups: DataFrame) -> DataFrame:
+    """(saga_id, kind) of what exists after all signups."""
     log = step_log(signups).where("status = 'ok' and coalesce(comp_status, 'failed') = 'failed'")
     kind = F.when(F.col("step") == "billing", "account").otherwise(F.col("step"))
-    return log.groupBy(kind.alias("kind")).agg(F.count("*").alias("survivors"))
+    return log.select("saga_id", kind.alias("kind"))
+
+
+def survivors(signups: DataFrame) -> DataFrame:
+    """(kind, survivors): tenants, accounts and users that exist after all signups, orphans included."""
+    return _left(signups).groupBy("kind").agg(F.count("*").alias("survivors"))
+
+
+def survivor_names(signups: DataFrame) -> DataFrame:
+    """(kind, company, saga_id) of all survivors, sorted: rows, so a list of any length has room."""
+    return _left(signups).join(signups.select("saga_id", "company"), "saga_id").select("kind", "company", "saga_id").orderBy("kind", "company", "saga_id")

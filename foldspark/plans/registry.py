@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldspark.functions.expressions import iso_utc, mint_id
 from foldspark.operators import bars, ledger, logs, orders, outbox, positions, quotes, reactions, risk, saga, views
 from foldspark.sources import adapters as given
 from foldspark.sources.tables import read_table
@@ -45,7 +46,7 @@ INPUTS = {
         CASE c_mktsegment WHEN 'FURNITURE' THEN 'platinum' WHEN 'BUILDING' THEN 'Enterprise' ELSE 'standard' END AS plan, CASE WHEN c_custkey % 7 = 0 THEN 'not-an-email' ELSE concat(c_custkey, '@x.io') END AS email FROM customer""",
     "outcome": """SELECT saga_id, company, trim(company) <> '' AS t, plan <> 'platinum' AS b, email LIKE '%@%' AS u, company LIKE 'sticky%' AS sticky FROM signup""",
     "reaction_event": """SELECT c_custkey AS tenant_id, CASE WHEN c_custkey % 9 = 0 THEN concat('bounce-', c_name) ELSE c_name END AS company, CASE c_mktsegment WHEN 'BUILDING' THEN 'enterprise' ELSE 'standard' END AS plan,
-        concat('corr-', c_custkey) AS correlation_id, c_custkey AS seq FROM customer""",
+        concat('corr-', c_custkey) AS correlation_id, c_custkey AS seq, concat(c_custkey, '@x.io') AS email, concat('evt-', c_custkey) AS event_id FROM customer""",
     "watch": "SELECT event_id AS seq, user_id AS session_id, CASE WHEN value > 100 THEN 'purchase' ELSE 'view' END AS symbol, event_type = 'error' AS unwatch FROM events WHERE event_type IN ('click', 'error')",
 }
 
@@ -97,7 +98,7 @@ def _unread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _reaction_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     company = F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit("bounce-"), "c_name")).otherwise(F.col("c_name"))
     plan = F.when(F.col("c_mktsegment") == "BUILDING", "enterprise").otherwise("standard")
-    return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tenant_id"), company.alias("company"), plan.alias("plan"), F.concat(F.lit("corr-"), "c_custkey").alias("correlation_id"), F.col("c_custkey").alias("seq"))
+    return read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("tenant_id"), company.alias("company"), plan.alias("plan"), F.concat(F.lit("corr-"), "c_custkey").alias("correlation_id"), F.col("c_custkey").alias("seq"), F.concat(F.col("c_custkey"), F.lit("@x.io")).alias("email"), F.concat(F.lit("evt-"), "c_custkey").alias("event_id"))
 
 
 # ---------------------------------------------------------------- logs and bars
@@ -357,11 +358,13 @@ def risk_shards(spark, sf_dir):
     _PARTIALS
     + """ SELECT CAST(coalesce(sum(market_value) FILTER (NOT failed), 0) AS DECIMAL(38,4)) AS market_value, CAST(coalesce(sum(realized_cash) FILTER (NOT failed), 0) AS DECIMAL(38,4)) AS realized_cash, CAST(coalesce(sum(valued) FILTER (NOT failed), 0) AS BIGINT) AS valued,
     count(*) AS shards, count(*) FILTER (failed) AS failed_shards, (SELECT count(DISTINCT v.symbol) FROM valued v WHERE v.symbol IS NOT NULL AND v.mid IS NULL AND v.shard NOT IN (SELECT shard FROM unread)) AS unpriced_symbols,
-    CAST(coalesce(sum(market_value) FILTER (NOT failed), 0) + coalesce(sum(realized_cash) FILTER (NOT failed), 0) AS DECIMAL(38,4)) AS total, count(*) FILTER (failed) = 0 AS is_complete, (SELECT count(*) FROM valued v WHERE v.symbol IS NOT NULL AND v.mid IS NULL AND v.shard NOT IN (SELECT shard FROM unread)) = 0 AS is_fully_priced FROM partials""",
+    CAST(coalesce(sum(market_value) FILTER (NOT failed), 0) + coalesce(sum(realized_cash) FILTER (NOT failed), 0) AS DECIMAL(38,4)) AS total, count(*) FILTER (failed) = 0 AS is_complete, (SELECT count(*) FROM valued v WHERE v.symbol IS NOT NULL AND v.mid IS NULL AND v.shard NOT IN (SELECT shard FROM unread)) = 0 AS is_fully_priced,
+    coalesce(string_agg(shard, ',' ORDER BY shard) FILTER (failed), '') AS failed, coalesce((SELECT string_agg(s, ',' ORDER BY s) FROM (SELECT DISTINCT v.symbol AS s FROM valued v WHERE v.symbol IS NOT NULL AND v.mid IS NULL AND v.shard NOT IN (SELECT shard FROM unread))), '') AS unpriced FROM partials""",
     "trades flows position marks",
 )
 def risk_run(spark, sf_dir):
-    return risk.run(_sharded(spark, sf_dir), given.redelivered(given.trades(spark, sf_dir), "version"), given.marks(spark, sf_dir), _unread(spark, sf_dir))
+    row = risk.run(_sharded(spark, sf_dir), given.redelivered(given.trades(spark, sf_dir), "version"), given.marks(spark, sf_dir), _unread(spark, sf_dir))
+    return row.withColumns({c: F.array_join(c, ",") for c in ("failed", "unpriced")})
 
 
 # ---------------------------------------------------------------- read models
@@ -483,17 +486,19 @@ def notification_stats(spark, sf_dir):
     return outbox.delivery_stats(events, "customer")
 
 
-@query("outbox_gap", f"SELECT order_id, 'order_without_event' AS kind FROM cdc WHERE op = 'INSERT' AND NOT ({_GOOD} AND seq % 23 <> 0) UNION ALL SELECT order_id, 'event_without_order' FROM cdc WHERE op = 'INSERT' AND {_GOOD} AND seq % 23 <> 0 AND seq % 29 = 0 AND seq % 29 <> 0", "cdc")
+@query("outbox_gap", f"SELECT order_id, 'order_without_event' AS kind FROM cdc WHERE op = 'INSERT' AND NOT ({_GOOD} AND seq % 23 <> 0) UNION ALL SELECT concat('ghost-', seq), 'event_without_order' FROM cdc WHERE seq % 29 = 0", "cdc")
 def outbox_gap(spark, sf_dir):
+    """Some inserts have lost their event, and some changes published one for an order that was never committed."""
     changes = given.cdc_orders(spark, sf_dir)
     orders_ = changes.where("op = 'INSERT'").select(F.col("new_image")["order_id"].alias("order_id"))
-    return outbox.reconcile(orders_, outbox.inserts(changes).where("seq % 23 <> 0").select("order_id"))
+    ghosts = changes.where("seq % 29 = 0").select(F.concat(F.lit("ghost-"), "seq").alias("order_id"))
+    return outbox.reconcile(orders_, outbox.inserts(changes).where("seq % 23 <> 0").select("order_id").union(ghosts))
 
 
-_JOURNAL = """entries AS (SELECT 'analytics' AS reaction, concat('recorded signup of ', company) AS what, correlation_id, 'ok' AS status FROM reaction_event
-    UNION ALL SELECT 'cache-warmer', concat('warmed cache for ', company), correlation_id, 'ok' FROM reaction_event
-    UNION ALL SELECT 'trial-clock', concat('started trial of ', company), correlation_id, 'ok' FROM reaction_event WHERE plan = 'standard'
-    UNION ALL SELECT 'welcome-email', concat('welcomed ', company), correlation_id, CASE WHEN company LIKE 'bounce%' THEN 'FAILED' ELSE 'ok' END FROM reaction_event)"""
+_JOURNAL = """entries AS (SELECT 'analytics' AS reaction, concat('signup: ', company, ' on ', plan) AS what, correlation_id, 'ok' AS status FROM reaction_event
+    UNION ALL SELECT 'cache-warmer', concat('warmed ', tenant_id), correlation_id, 'ok' FROM reaction_event
+    UNION ALL SELECT 'trial-clock', concat('trial started for ', tenant_id, ' (14 days)'), correlation_id, 'ok' FROM reaction_event WHERE plan = 'standard'
+    UNION ALL SELECT 'welcome-email', concat(CASE WHEN company LIKE 'bounce%' THEN 'FAILED to email ' ELSE 'welcomed ' END, email), correlation_id, CASE WHEN company LIKE 'bounce%' THEN 'FAILED' ELSE 'ok' END FROM reaction_event)"""
 
 
 @query("reaction_journal", f"{_JOURNAL} SELECT * FROM entries", "reaction_event")
@@ -509,11 +514,15 @@ def correlation_coverage(spark, sf_dir):
 
 @query(
     "retry_dead_letter",
-    "SELECT correlation_id, 1 AS attempt, CASE WHEN company LIKE 'bounce%' THEN 'retry' ELSE 'done' END AS outcome FROM reaction_event UNION ALL SELECT correlation_id, 2, 'dead-letter' FROM reaction_event WHERE company LIKE 'bounce%'",
+    """shared AS (SELECT event_id, company, CASE WHEN seq % 8 <> 0 THEN concat('corr-', seq // 2) END AS correlation_id FROM reaction_event)
+    SELECT event_id, correlation_id, 1 AS attempt, CASE WHEN company LIKE 'bounce%' THEN 'retry' ELSE 'done' END AS outcome FROM shared UNION ALL SELECT event_id, correlation_id, 2, 'dead-letter' FROM shared WHERE company LIKE 'bounce%'""",
     "reaction_event",
 )
 def retry_dead_letter(spark, sf_dir):
-    return reactions.with_retries(_reaction_events(spark, sf_dir), reactions.welcome_email).select("correlation_id", "attempt", "outcome")
+    """Correlation ids are shared by two events, or missing."""
+    shared = F.when(F.col("seq") % 8 != 0, F.concat(F.lit("corr-"), F.expr("seq div 2")))
+    events = _reaction_events(spark, sf_dir).withColumn("correlation_id", shared)
+    return reactions.with_retries(events, reactions.welcome_email).select("event_id", "correlation_id", "attempt", "outcome")
 
 
 @query("late_subscriber", "SELECT tenant_id, company, seq FROM reaction_event WHERE seq > 1000", "reaction_event")
@@ -543,10 +552,10 @@ def stock_allocation(spark, sf_dir):
 
 def _customers(spark, sf_dir):
     """Two of three customer names, in capitals."""
-    return given.order_requests(spark, sf_dir).where("sku % 10 = 1").select("customer").distinct().where("cast(substr(customer, 2) as int) % 3 <> 0").select(F.upper("customer").alias("customer"))
+    return given.order_requests(spark, sf_dir).select("customer").distinct().where("cast(substr(customer, 2) as int) % 3 <> 0").select(F.upper("customer").alias("customer"))
 
 
-_OUTCOMES = f"""known AS (SELECT DISTINCT customer FROM request WHERE sku % 10 = 1 AND CAST(substr(customer, 2) AS INTEGER) % 3 <> 0),
+_OUTCOMES = f"""known AS (SELECT DISTINCT customer FROM request WHERE CAST(substr(customer, 2) AS INTEGER) % 3 <> 0),
     checked AS (SELECT r.*, CAST(r.quantity * r.unit_price AS DECIMAL(38,2)) AS amount, CASE WHEN r.quantity <= 0 THEN 'validation-error' WHEN r.customer NOT IN (SELECT customer FROM known) THEN 'not-found' WHEN r.quantity * r.unit_price <= 0 THEN 'validation-error' ELSE 'ok' END AS status FROM request r),
     chosen AS (SELECT * FROM checked WHERE status = 'ok'), {_ALLOCATE},
     placed AS (SELECT q.sku, q.arrival, f.status, c.amount, true AS charged, f.status <> 'ok' AS refunded FROM queue q JOIN fold f USING (sku, n) JOIN chosen c ON c.sku = q.sku AND c.arrival = q.arrival
@@ -591,6 +600,34 @@ def saga_survivors(spark, sf_dir):
     return saga.survivors(given.signups(spark, sf_dir))
 
 
+@query(
+    "saga_survivor_names",
+    "SELECT 'tenant' AS kind, company, saga_id FROM outcome WHERE t AND ((b AND u) OR sticky) UNION ALL SELECT unnest(['account', 'user']), company, saga_id FROM outcome WHERE t AND b AND u",
+    "signup outcome",
+)
+def saga_survivor_names(spark, sf_dir):
+    return saga.survivor_names(given.signups(spark, sf_dir))
+
+
+@query(
+    "user_command_results",
+    """command AS (SELECT event_id AS user_id, CASE WHEN event_id % 9 <> 0 THEN user_id END AS tenant_id, CASE WHEN event_id % 7 = 0 THEN 'nowhere' WHEN event_id % 5 = 0 THEN ' ' ELSE concat(event_id, '@x.io') END AS email FROM events)
+    SELECT *, CASE WHEN tenant_id IS NULL OR email NOT LIKE '%@%' THEN 'validation-error' ELSE 'ok' END AS status, CASE WHEN tenant_id IS NULL THEN 'tenant' WHEN email NOT LIKE '%@%' THEN 'email' END AS error FROM command""",
+)
+def user_command_results(spark, sf_dir):
+    """Every event as a request for a user; some have no tenant, some no address."""
+    id_ = F.col("event_id")
+    email = F.when(id_ % 7 == 0, "nowhere").when(id_ % 5 == 0, " ").otherwise(F.concat(id_, F.lit("@x.io")))
+    commands = read_table(spark, sf_dir, "events").select(id_.alias("user_id"), F.when(id_ % 9 != 0, F.col("user_id")).alias("tenant_id"), email.alias("email"))
+    return views.user_commands(commands)
+
+
+@query("minted_orders", "SELECT o_orderkey, concat('ord-', substr(md5(concat(o_orderkey, '|', o_custkey)), 1, 12)) AS order_id, concat(strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%dT%H:%M:%S'), '.0000000+00:00') AS placed_at FROM orders")
+def minted_orders(spark, sf_dir):
+    placed = F.col("o_orderdate").cast("timestamp_ntz")
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", mint_id("ord-", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")).alias("order_id"), iso_utc(placed).alias("placed_at"))
+
+
 # ---------------------------------------------------------------- quotes
 
 _GREEKS = """one AS (SELECT symbol, CAST(mid AS DOUBLE) AS s, 0.25 AS v, 0.04 AS r, 30.0 / 365 AS t FROM (SELECT symbol, CAST(mid AS DOUBLE) AS mid FROM marks)),

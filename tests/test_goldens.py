@@ -89,8 +89,12 @@ def test_outbox(spark):
 
 
 def test_reactions(spark):
-    events = spark.createDataFrame([("acme", "standard", "1"), ("bounce-corp", "standard", "2"), ("big", "enterprise", "3")], "company string, plan string, correlation_id string")
+    people = [(7, "acme", "a@x.io", "standard", "1"), (8, "bounce-corp", "b@x.io", "standard", "2"), (9, "big", "c@x.io", "enterprise", "3")]
+    events = spark.createDataFrame(people, "tenant_id long, company string, email string, plan string, correlation_id string")
     rows = reactions.journal(events).collect()
+    told = {(r.reaction, r.correlation_id): r.what for r in rows}
+    assert [told[n, "1"] for n in reactions.REGISTRY] == ["signup: acme on standard", "warmed 7", "trial started for 7 (14 days)", "welcomed a@x.io"]
+    assert told["welcome-email", "2"] == "FAILED to email b@x.io"
     by = lambda c: sorted((r.reaction, r.status) for r in rows if r.correlation_id == c)
     assert by("1") == [(n, "ok") for n in ("analytics", "cache-warmer", "trial-clock", "welcome-email")]
     assert ("welcome-email", "FAILED") in by("2") and len(by("2")) == 4
@@ -101,6 +105,25 @@ def test_reactions(spark):
     assert [r.delivery for r in reactions.dedupe(tries).collect()] == [2]
 
 
+def test_retries_go_by_event_and_not_by_correlation(spark):
+    rows = [("e1", "acme", "a@x.io", "shared"), ("e2", "bounce-a", "b@x.io", "shared"), ("e3", "bounce-b", "c@x.io", None), (None, "bounce-c", "d@x.io", None)]
+    events = spark.createDataFrame(rows, "event_id string, company string, email string, correlation_id string")
+    got = sorted(((r.event_id, r.attempt, r.outcome) for r in reactions.with_retries(events, reactions.welcome_email).collect()), key=repr)
+    assert got == sorted([("e1", 1, "done"), *((e, n, o) for e in ("e2", "e3", None) for n, o in ((1, "retry"), (2, "dead-letter")))], key=repr)
+    without = reactions.with_retries(events.drop("event_id"), reactions.welcome_email).collect()
+    assert sorted((r.what, r.outcome) for r in without) == sorted([("welcomed a@x.io", "done"), *((f"FAILED to email {c}@x.io", o) for c in "bcd" for o in ("retry", "dead-letter"))])
+
+
+def test_events_are_cast_along_chains(spark):
+    add = lambda name: lambda payload: F.concat(payload, F.lit(name))
+    casters = {"a:v1": ("a:v2", add("2")), "a:v2": ("a", add("3")), "b:v1": ("b", add("x"))}
+    events = spark.createDataFrame([("a:v1", "p"), ("a:v2", "p"), ("a", "p"), ("b:v1", "p"), ("c", None)], "event_type string, payload string")
+    assert [tuple(r) for r in ledger.upcast(events, casters).collect()] == [("a", "p23"), ("a", "p3"), ("a", "p"), ("b", "px"), ("c", None)]
+    assert ledger.hops(casters) == 2 and ledger.hops({}) == 0
+    with pytest.raises(ValueError, match="circle"):
+        ledger.upcast(events, {"a": ("b", add("")), "b": ("a", add(""))})
+
+
 def test_signups(spark):
     rows = [(1, "acme", "standard", "a@x"), (2, "acme", "platinum", "a@x"), (3, "acme", "Standard", "nope"), (4, "sticky-corp", "standard", "nope"), (5, " ", "gold", None)]
     got = {r.saga_id: r for r in saga.evaluate_signups(spark.createDataFrame(rows, "saga_id long, company string, plan string, email string")).collect()}
@@ -130,7 +153,7 @@ def test_risk_keeps_coverage_apart(spark):
     books = risk.shard_books(spark.createDataFrame([(1, "A"), (2, "B"), (3, "none")], "pos long, book string"), 1)
     row = risk.run(books, frame, marks).first()
     assert (row.market_value, row.realized_cash, row.total, row.valued, row.shards) == (10, -4, 6, 2, 3)
-    assert row.is_complete and not row.is_fully_priced and row.unpriced_symbols == 1
+    assert row.is_complete and not row.is_fully_priced and row.unpriced_symbols == 1 and len(row.unpriced) == 1 and row.failed == []
     row = risk.run(books, frame, marks, spark.createDataFrame([("A",)], "book string")).first()
     assert (row.failed_shards, row.is_complete, row.is_fully_priced, row.market_value) == (1, False, True, -10)
     names = spark.createDataFrame([(1, 1, " a "), (1, 2, ""), (1, 3, "A"), (1, 4, "b")], "request_id long, pos long, book string")

@@ -34,7 +34,8 @@ def test_bars_survive_a_failure_in_the_middle(spark, tmp_path):
     with pytest.raises(Exception, match="poison"):
         query.awaitTermination()
     report = projections.batch_report(spark, query).collect()
-    assert report[-1].failed and not report[0].failed
+    assert report[-1].failed and not report[0].failed and "poison" in report[-1].reason
+    assert report[0].checkpoint_before != report[0].checkpoint_after and report[-1].checkpoint_before == report[-1].checkpoint_after and report[-1].applied == 0
     assert sinks.read_view(spark, f"{out}/view").first().volume == 7
     poisoned[0] = False
     projections.tick_bars(stream, out, checkpoint, poison).awaitTermination()
@@ -101,8 +102,8 @@ def test_dedupe_and_rolling_bars(spark, tmp_path):
 
 
 def test_reactions_are_independent(spark, tmp_path):
-    events = [(1, "acme", "standard", "c1"), (2, "bounce-corp", "standard", "c2"), (3, "big", "enterprise", "c3")]
-    write_files(spark, events, "tenant_id long, company string, plan string, correlation_id string", tmp_path / "in", 2)
+    events = [(1, "acme", "standard", "c1", "a@x.io"), (2, "bounce-corp", "standard", "c2", "b@x.io"), (3, "big", "enterprise", "c3", "c@x.io")]
+    write_files(spark, events, "tenant_id long, company string, plan string, correlation_id string, email string", tmp_path / "in", 2)
     stream = feeds.read_changes(spark, str(tmp_path / "in"))
     for query in fanout.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).values():
         query.awaitTermination()
