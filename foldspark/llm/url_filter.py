@@ -1,14 +1,18 @@
 """URL filters: host and path rules first, then a path-template tree per host. DataFrame functions only.
 
-Numbers in a path become `#`, so that few distinct path shapes are left of each host; all later steps work on counted
-shapes. Level by level, a node with many distinct children for its rows has a variable segment, which becomes `*`.
-Sibling branches whose subtrees and labelled shares agree are merged. A template is rejected when its smoothed share of
-blocked pages among the labelled ones, which are those that a rule decides, is high; the host's share is the prior of
-its templates, and the share of all hosts the prior of a host.
+Level by level, a node of a host's tree has a variable segment, which becomes `*`, if no child holds as much as a fixed
+share of its rows; Hoeffding's bound says what its rows can tell. Where a host has too few, the rows of all hosts that
+have come to the same template decide. From the last level to the first, a branch is merged into its largest sibling if
+the templates below both and their labelled shares differ by no more than the bounds of two samples allow.
+
+A template is rejected when its smoothed share of blocked pages among the labelled ones, which are those that a rule
+decides, is high. Its prior is that of its path templates on all hosts, whose own prior is the share of all pages. So what
+the rules say of a template on some hosts also judges it on hosts without a rule.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,11 +20,12 @@ from pyspark.sql import functions as F
 
 from foldspark.llm.common import materialise
 
-LEVELS = 4  # segments beyond are one `**`
-MIN_CHILDREN = 8
-MIN_SPREAD = 0.2  # distinct children a row
+TOP_SHARE = 0.25  # a segment with such a child is fixed
+DOUBT = 0.1  # of a variable segment
+ALIKE = 0.974  # siblings may differ by this over the root of each one's rows: sqrt(ln(2 / 0.3) / 2)
 PRIOR_WEIGHT = 4.0
 REJECT_SHARE = 0.7
+SPREAD = math.log(1 / DOUBT) / 2
 
 
 @dataclass(frozen=True)
@@ -57,42 +62,66 @@ def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
     return F.array_max(F.array_compact(F.array(*fits))) if fits else F.lit(None).cast("struct<size:int,rule:string,allow:boolean>")
 
 
-def _shape(path: Column) -> Column:
-    """The path's segments with `#` for numbers, at most LEVELS of them and a mark for the rest."""
-    parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
-    return F.when(F.size(parts) > LEVELS, F.concat(F.slice(parts, 1, LEVELS), F.array(F.lit("**")))).otherwise(parts)
+def _bound(n: Column) -> Column:
+    """How far a share of n rows may be from the true one."""
+    return F.sqrt(F.lit(SPREAD) / n)
 
 
-def _templates(shapes: DataFrame) -> DataFrame:
-    """Add `template` to counted (host, shape) rows: variable segments become `*`, level by level."""
-    cur = shapes.withColumn("template", F.lit(""))
-    for level in range(LEVELS):
-        cur = cur.withColumn("part", F.get("shape", F.lit(level)))
+def _templates(paths: DataFrame, depth: int) -> DataFrame:
+    """Add `template` to counted (host, path, parts) rows: variable segments become `*`, level by level."""
+    cur = paths.withColumn("template", F.lit(""))
+    for level in range(depth):
+        cur = cur.withColumn("part", F.get("parts", F.lit(level)))
         child = cur.where("part is not null").groupBy("host", "template", "part").agg(F.sum("n").alias("n"))
-        node = child.groupBy("host", "template").agg(((F.count("*") >= MIN_CHILDREN) & (F.count("*") >= F.sum("n") * MIN_SPREAD)).alias("varies"))
-        cur = cur.join(node, ["host", "template"], "left")
+        own = child.groupBy("host", "template").agg(F.sum("n").alias("n"), (F.max("n") / F.sum("n")).alias("top"))
+        pooled = child.groupBy("template", "part").agg(F.sum("n").alias("n")).groupBy("template").agg((F.max("n") / F.sum("n") + _bound(F.sum("n")) < TOP_SHARE).alias("pooled"))
+        varies = F.when(F.col("top") + _bound(F.col("n")) < TOP_SHARE, True).when(F.col("top") - _bound(F.col("n")) >= TOP_SHARE, False).otherwise(F.col("pooled"))
+        node = own.join(pooled, "template").select("host", "template", varies.alias("varies"))
         step = F.when(F.col("part").isNull(), "").when(F.col("varies"), "/*").otherwise(F.concat(F.lit("/"), "part"))
-        cur = materialise(cur.withColumn("template", F.concat("template", step)).drop("part", "varies"), "templates")
-    return cur.withColumn("template", F.when(F.size("shape") > LEVELS, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        cur = cur.join(node, ["host", "template"], "left").withColumn("template", F.concat("template", step)).drop("part", "varies")
+        cur = materialise(cur, "templates")
+    return cur
+
+
+def _differ_little(a: Column, b: Column, distance: Column) -> Column:
+    """May two samples of a and b rows with shares this far apart be of one kind?"""
+    return distance <= ALIKE * (1 / F.sqrt(a) + 1 / F.sqrt(b))
 
 
-def _merged(tree: DataFrame) -> DataFrame:
-    """Add `merged` to counted (host, template) rows: sibling branches that look alike become one.
+def _merged(tree: DataFrame, depth: int) -> DataFrame:
+    """Add `merged` to counted (host, template) rows: branches that are like their largest sibling take its name.
 
-    From the last level to the first, branches of one parent are alike when the same templates hang below them and their
-    smoothed blocked shares are in the same tenth (branches without labelled pages are alike among themselves).
+    The templates below two branches are as far apart as the share of rows that they don't have in common. A branch without
+    labelled pages has the labels of its name on all hosts; without any, it is like others without.
     """
     cur = tree.withColumn("merged", F.col("template"))
-    for level in range(LEVELS, 0, -1):
-        head = F.substring_index("merged", "/", level + 1)
-        cur = cur.withColumn("head", head).withColumn("tail", F.expr("substring(merged, length(head) + 1)")).withColumn("parent", F.substring_index("merged", "/", level))
-        twig = cur.groupBy("host", "parent", "head", "tail").agg(*(F.sum(c).alias(c) for c in ("labelled", "blocked")))
-        share = F.when(F.sum("labelled") > 0, F.floor(10 * (F.sum("blocked") + 0.5) / (F.sum("labelled") + 1)))
-        branch = twig.groupBy("host", "parent", "head").agg(F.bit_xor(F.xxhash64("tail")).alias("below"), share.alias("tenth")).where("head <> parent")
-        alike = branch.groupBy("host", "parent", "below", "tenth").agg(F.min("head").alias("first"), F.count("*").alias("branches"))
-        name = branch.withColumn("tenth", F.coalesce("tenth", F.lit(-1))).join(alike.withColumn("tenth", F.coalesce("tenth", F.lit(-1))), ["host", "parent", "below", "tenth"])
-        name = name.where("branches > 1").select("host", "head", F.concat("first", F.lit("|..")).alias("into"))
-        cur = materialise(cur.join(name, ["host", "head"], "left").withColumn("merged", F.concat(F.coalesce("into", "head"), "tail")).drop("head", "tail", "parent", "into"), "merged")
+    node = ["host", "parent"]
+    for level in range(depth, 0, -1):
+        deep = F.length("merged") - F.length(F.replace("merged", F.lit("/"))) >= level
+        head = F.when(deep, F.substring_index("merged", "/", level + 1))
+        cur = cur.withColumn("head", head).withColumn("tail", F.expr("substring(merged, length(head) + 1)")).withColumn("parent", F.when(deep, F.substring_index("merged", "/", level)))
+        twig = cur.where("head is not null").groupBy(*node, "head", "tail").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
+        branch = twig.groupBy(*node, "head").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
+        everywhere = branch.groupBy("head").agg(F.sum("labelled").alias("all_l"), F.sum("blocked").alias("all_b"))
+        own = F.col("labelled") > 0
+        known = branch.join(everywhere, "head").select(*node, "head", "n", F.when(own, F.col("labelled")).otherwise(F.col("all_l")).alias("l"), F.when(own, F.col("blocked")).otherwise(F.col("all_b")).alias("b"))
+        known = materialise(known, "branches")
+        place = F.struct(-F.col("n"), "head")
+        hub = known.groupBy(*node).agg(F.count("*").alias("k"), *(F.min_by(c, place).alias(f"hub_{c}") for c in ("head", "n", "l", "b"))).where("k > 1").drop("k")
+        pair = known.join(hub, node).where("head <> hub_head")
+        below = twig.select(*node, "head", "tail", F.col("n").alias("m"))
+        hubs = below.join(hub.select(*node, F.col("hub_head").alias("head")), [*node, "head"]).select(*node, "tail", F.col("m").alias("hub_m"))
+        common = below.join(pair.select(*node, "head", "n", "hub_n"), [*node, "head"]).join(hubs, [*node, "tail"])
+        common = common.groupBy(*node, "head").agg(F.sum(F.least(F.col("m") / F.col("n"), F.col("hub_m") / F.col("hub_n"))).alias("common"))
+        pair = pair.join(common, [*node, "head"], "left")
+        apart = F.round(1 - F.coalesce("common", F.lit(0.0)), 9)
+        labels = F.when(F.greatest("l", "hub_l") == 0, True).when(F.least("l", "hub_l") == 0, False)
+        labels = labels.otherwise(_differ_little(F.col("l"), F.col("hub_l"), F.abs(F.col("b") / F.col("l") - F.col("hub_b") / F.col("hub_l"))))
+        alike = pair.where(_differ_little(F.col("n"), F.col("hub_n"), apart) & labels)
+        into = F.concat("hub_head", F.lit("|..")).alias("into")
+        name = materialise(alike.select("host", "head", into).union(alike.select("host", F.col("hub_head"), into).distinct()), "merged-branches")
+        cur = cur.join(name, ["host", "head"], "left").withColumn("merged", F.when(F.col("head").isNull(), F.col("merged")).otherwise(F.concat(F.coalesce("into", "head"), "tail")))
+        cur = materialise(cur.drop("head", "tail", "parent", "into"), "merged")
     return cur
 
 
@@ -100,23 +129,27 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, reject_share: float
     """One row for each page: (page_id, host, path, rule, verdict, template, blocked_share).
 
     verdict is the longest fitting rule's, else `block` if the page's template is rejected and `allow` if not. Where
-    nothing is labelled, nothing is rejected. A null url, or one without `://`, has an empty host and path and the
-    template of these. Repeated rows count each and get equal verdicts; an empty table gives no rows. Only page_id and
-    url are read; the rules must be few enough for one expression.
+    nothing is labelled, every share is a half. A null url, or one without `://`, has an empty host and path and the
+    template of these. Paths of any length are read whole; each level of the deepest one is a round of joins. Repeated rows
+    count each and get equal verdicts; of equally large siblings the one that sorts first gives the name; an empty table
+    gives no rows. Only page_id and url are read; the rules must be few enough for one expression.
     """
     host, path = host_and_path(F.col("url"))
     judged = pages.select("page_id", host.alias("host"), path.alias("path"))
-    judged = judged.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.allow").alias("allow"), _shape(F.col("path")).alias("shape"))
+    judged = judged.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("found.rule").alias("rule"), F.col("found.allow").alias("allow"))
     blocked = F.when(~F.col("allow"), 1).otherwise(0)
-    shapes = materialise(judged.groupBy("host", "shape").agg(F.count("*").alias("n"), F.count("allow").alias("labelled"), F.sum(blocked).alias("blocked")), "shapes")
-    leaf = _templates(shapes).select("host", "shape", "template", "n", "labelled", "blocked")
-    tree = leaf.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked")))
-    named = _merged(tree).select("host", "template", "merged", "labelled", "blocked")
-    of_host = named.groupBy("host").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-    of_all = named.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("base"))
-    of_host = of_host.select("host", ((F.col("b") + PRIOR_WEIGHT * of_all.scalar()) / (F.col("l") + PRIOR_WEIGHT)).alias("prior"))
-    share = named.groupBy("host", "merged").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).join(of_host, "host").select("host", "merged", ((F.col("b") + PRIOR_WEIGHT * F.col("prior")) / (F.col("l") + PRIOR_WEIGHT)).alias("blocked_share"))
-    verdict = leaf.select("host", "shape", "template").join(named.select("host", "template", "merged"), ["host", "template"]).join(share, ["host", "merged"]).select("host", "shape", "merged", "blocked_share")
-    out = judged.join(verdict, ["host", "shape"])
+    parts = F.filter(F.split("path", "/"), lambda s: s != "")
+    paths = judged.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("allow").alias("labelled"), F.sum(blocked).alias("blocked")).withColumn("parts", parts)
+    paths = materialise(paths, "paths")
+    depth = paths.agg(F.max(F.size("parts"))).first()[0] or 0
+    leaf = _templates(paths, depth).select("host", "path", "template", "n", "labelled", "blocked")
+    named = _merged(leaf.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))), depth)
+    base = named.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("base"))
+    smoothed = (F.sum("blocked") + PRIOR_WEIGHT * base.scalar()) / (F.sum("labelled") + PRIOR_WEIGHT)
+    prior = named.groupBy("template").agg(smoothed.alias("prior"))
+    of = named.join(prior, "template").groupBy("host", "merged").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), (F.sum(F.col("n") * F.col("prior")) / F.sum("n")).alias("prior"))
+    share = of.select("host", "merged", F.round((F.col("b") + PRIOR_WEIGHT * F.col("prior")) / (F.col("l") + PRIOR_WEIGHT), 6).alias("blocked_share"))
+    verdict = leaf.select("host", "path", "template").join(named.select("host", "template", "merged"), ["host", "template"]).join(share, ["host", "merged"])
+    out = judged.join(verdict.select("host", "path", "merged", "blocked_share"), ["host", "path"])
     decided = F.when(F.col("allow").isNotNull(), F.when(F.col("allow"), "allow").otherwise("block")).when(F.col("blocked_share") >= reject_share, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", decided.alias("verdict"), F.col("merged").alias("template"), "blocked_share")

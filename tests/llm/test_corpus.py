@@ -5,13 +5,17 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from foldspark.llm import byte_bpe, chat_format, exact_dedup, language_id, mixing, near_dedup, quality, url_filter
 
+from foldspark.llm.url_filter_sql import judge_sql
+
 from .conftest import SCHEMA, SYLLABLES, rows_of, sentence
 
 
@@ -176,91 +180,50 @@ def test_mix_of_many_shards(spark):
 # ---------------------------------------------------------------- URL filter
 
 
-def judge_by_hand(urls):
-    """The rules, and the template tree in plain Python."""
-
-    def parts(url):
-        m = re.match(r"^.*?://([^/?#]*)([^?#]*)", url or "", re.S)
-        return (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
-
-    def rule(host, path):
-        found = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
-        return max(found, key=lambda r: (len(r.text), r.text), default=None)
-
-    rows = [(*parts(u), rule(*parts(u))) for u in urls]
-    shapes = {}
-    for host, path, r in rows:
-        seg = [s for s in re.sub("[0-9]+", "#", path).split("/") if s]
-        seg = tuple(seg[:4] + ["**"] * (len(seg) > 4))
-        n, lab, bad = shapes.get((host, seg), (0, 0, 0))
-        shapes[host, seg] = (n + 1, lab + (r is not None), bad + (r is not None and not r.allow))
-    template = {k: "" for k in shapes}
-    for level in range(4):
-        kids = {}
-        for (host, seg), (n, *_) in shapes.items():
-            if level < len(seg):
-                kids.setdefault((host, template[host, seg]), {}).setdefault(seg[level], []).append(n)
-        for host, seg in shapes:
-            if level < len(seg):
-                node = kids[host, template[host, seg]]
-                total = sum(sum(v) for v in node.values())
-                varies = len(node) >= 8 and len(node) >= 0.2 * total
-                template[host, seg] += "/*" if varies else "/" + seg[level]
-    tree = {}
-    for (host, seg), (_, lab, bad) in shapes.items():
-        name = template[host, seg] + ("/**" if len(seg) > 4 else "")
-        template[host, seg] = name
-        x, y = tree.get((host, name), (0, 0))
-        tree[host, name] = (x + lab, y + bad)
-    merged = {k: k[1] for k in tree}
-    for level in range(4, 0, -1):
-        cut = lambda s, n: "/".join(s.split("/")[:n])
-        branch = {}
-        for (host, name), (lab, bad) in tree.items():
-            m = merged[host, name]
-            head = cut(m, level + 1)
-            b = branch.setdefault((host, cut(m, level), head), [set(), 0, 0])
-            b[0].add(m[len(head) :])
-            b[1] += lab
-            b[2] += bad
-        alike = {}
-        for (host, parent, head), (below, lab, bad) in branch.items():
-            if head != parent:
-                alike.setdefault((host, parent, frozenset(below), int(10 * (bad + 0.5) / (lab + 1)) if lab else None), []).append(head)
-        into = {(k[0], h): min(heads) + "|.." for k, heads in alike.items() if len(heads) > 1 for h in heads}
-        for host, name in merged:
-            m = merged[host, name]
-            head = cut(m, level + 1)
-            merged[host, name] = into.get((host, head), head) + m[len(head) :]
-    base = (sum(b for _, b in tree.values()) + 1) / (sum(a for a, _ in tree.values()) + 2)
-    out = []
-    for host, path, r in rows:
-        seg = [s for s in re.sub("[0-9]+", "#", path).split("/") if s]
-        m = merged[host, template[host, tuple(seg[:4] + ["**"] * (len(seg) > 4))]]
-        mine = [v for (h, _), v in tree.items() if h == host]
-        prior = (sum(b for _, b in mine) + 4 * base) / (sum(a for a, _ in mine) + 4)
-        same = [v for k, v in tree.items() if k[0] == host and merged[k] == m]
-        share = (sum(b for _, b in same) + 4 * prior) / (sum(a for a, _ in same) + 4)
-        verdict = ("allow" if r.allow else "block") if r else "block" if share >= 0.7 else "allow"
-        out.append((host, path, r.text if r else None, verdict, m, round(share, 9)))
-    return out
+def judged_by_sql(urls, levels):
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame({"page_id": range(len(urls)), "url": pd.array(urls, "string")}))
+    rows = con.sql(judge_sql(levels, "given")).fetchall()
+    return {r[0]: r[1:] for r in rows}
+
+
+def judged(frame, **options):
+    return {r.page_id: (r.host, r.path, r.rule, r.verdict, r.template, r.blocked_share) for r in url_filter.judge(frame, **options).collect()}
 
 
 def test_url_filter(spark):
     rng = random.Random(8)
     urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.org/es/1", "x://Example.ORG", "x://example.org/en/12", "x://a.example.org/es/?q#f", "x://b.com#top", "x://notorg/", "x://c.com/fr", "x://c.com/fr/\n/x://y", "a://b://c/d"]
-    for _ in range(400):
+    for _ in range(900):
         host = rng.choice(["shop.com", "deep.shop.com", "site.net", "wiki.org", "example.org"])
-        path = rng.choice([f"/de/{rng.randrange(99)}", f"/fr/{rng.randrange(99)}.html", f"/en/{rng.choice('abc')}/{rng.randrange(9)}", f"/tag/{sentence(rng, 'en', 1)}", "/a/b/c/d/e/f", "/", "", f"/de/x{rng.randrange(9)}/y"])
+        path = rng.choice([f"/de/{rng.randrange(9999)}", f"/fr/{rng.randrange(9999)}.html", f"/en/{rng.choice('abc')}/{rng.randrange(9)}", f"/tag/{sentence(rng, 'en', 1)}", "/a/b/c/d/e/f", "/", "", f"/es/x{rng.randrange(9999)}/y"])
+        if path.startswith("/es/") and host == "wiki.org":
+            host = "example.org"
         urls.append(f"https://{host}{path}{rng.choice(['', '?a=/x', '#y'])}")
-    urls += [f"https://bad.com/de/{k}" for k in range(60)] + ["https://bad.com/en/1", "https://bad.com/x"] + urls[20:23]
+    urls += [f"https://bad.com/de/{k}" for k in range(60)] + ["https://bad.com/en/1", "https://bad.com/x", "x://long.net/" + "long/" * 3 + "z" * 100_000] + urls[20:23]
     frame = spark.createDataFrame([(k, u, None, "?") for k, u in enumerate(urls)], "page_id long, url string, html string, template string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict, r.template, round(r.blocked_share, 9)) for r in url_filter.judge(frame).collect()}
-    want = judge_by_hand(urls)
-    assert [got[k] for k in range(len(urls))] == want
-    assert {w[3] for w in want if w[2] is None} == {"allow", "block"}
+    got, want = judged(frame), judged_by_sql(urls, 6)
+    assert got == want
+    of = {(h, p): (v, t) for h, p, r, v, t, _ in got.values() if r is None}
+    variable = {t for (h, p), (v, t) in of.items() if p.startswith("/fr/")}
+    assert all(t.endswith("/*") for t in variable) and not any("*" in t for (_, p), (_, t) in of.items() if p.startswith("/a/b"))
+    # pages under /es/ are blocked on hosts without a rule for them, as they are where a rule speaks; those under /fr/ are not
+    assert {v for (h, p), (v, _) in of.items() if p.startswith("/es/") and h.endswith(".net")} == {"block"}
+    assert {v for (h, p), (v, _) in of.items() if p.startswith("/fr/")} == {"allow"}
+    assert any("|.." in t for _, t in of.values())
     assert url_filter.judge(frame.limit(0)).count() == 0
-    assert {r.verdict for r in url_filter.judge(frame, rules=()).collect()} == {"allow"}
+    assert {v for *_, v, _, _ in judged(frame, rules=()).values()} == {"allow"}
+
+
+def test_url_templates_have_no_depth_limit(spark):
+    """The only thing that tells two branches apart is below 20 equal segments."""
+    stem = "/s" * 20
+    urls = [f"x://a.com{stem}/{kind}/{k}" for kind in ("good", "bad") for k in range(40)] + [f"x://b.net{stem}/{kind}/{k}" for kind in ("good", "bad") for k in range(100, 140)]
+    rules = (url_filter.Rule("a.com", f"{stem}/bad/", False), url_filter.Rule("a.com", f"{stem}/good/", True))
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for host, path, rule, verdict, template, _ in judged(frame, rules=rules).values():
+        assert verdict == ("block" if "/bad/" in path else "allow") and (rule is None) == (host == "b.net")
+        assert template == f"{stem}/{'bad' if '/bad/' in path else 'good'}/*"
 
 
 # ---------------------------------------------------------------- chat formatting
