@@ -119,31 +119,35 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bo
     base = base.withColumn("result_of", F.when(F.col("role") == "tool", F.try_variant_get("json", "$.tool_call_id", "string")))
     base = base.withColumn("content", F.when(F.col("tool_calls").isNotNull() | F.col("result_of").isNotNull(), F.try_variant_get("json", "$.content", "string")).otherwise(F.col("text")))
 
-    calling = base.where("size(tool_calls) > 0")
+    # calls and results are parsed once; the rest of the messages never leave their place
+    special = base.where("size(tool_calls) > 0 or result_of is not null").withColumn("row", F.xxhash64("text"))
+    special = materialise(special.select("conv_id", "turn", "role", "row", "content", "tool_calls", "result_of"), "chat-calls")
+    calling = special.where("size(tool_calls) > 0")
     calls = calling.select("conv_id", "turn", F.explode("tool_calls").alias("c"))
     calls = calls.select("conv_id", "turn", F.col("c.id").alias("call_id"), F.coalesce("c.after", F.array().cast("array<string>")).alias("after"))
     calls = calls.where("call_id is not null and conv_id is not null")
     first = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"), F.count("*").alias("same"), F.min_by("after", "turn").alias("after"))
     first = materialise(first, "calls")
-    results = base.where("result_of is not null").groupBy("conv_id", F.col("result_of").alias("call_id")).agg(F.count("*").alias("results"))
+    results = special.where("result_of is not null").groupBy("conv_id", F.col("result_of").alias("call_id")).agg(F.count("*").alias("results"))
     facts = first.join(_levels(first), ["conv_id", "call_id"], "left").join(results, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "call_turn", "same", "level", F.coalesce("results", F.lit(0)).alias("results"))
 
     # what the calls of a message say of it
-    each = calling.select("conv_id", "turn", "text", F.explode("tool_calls").alias("c"))
+    each = calling.select("conv_id", "turn", "row", F.explode("tool_calls").alias("c"))
     wrong = argument_errors(F.col("c.name"), F.col("c.arguments"), schemas)
-    each = each.select("conv_id", "turn", "text", F.col("c.id").alias("call_id"), wrong.alias("wrong")).join(facts, ["conv_id", "call_id"], "left")
+    each = each.select("conv_id", "turn", "row", F.col("c.id").alias("call_id"), wrong.alias("wrong")).join(facts, ["conv_id", "call_id"], "left")
     label = F.coalesce("call_id", F.lit("?"))
     told = F.concat(
         F.transform("wrong", lambda e: F.concat(label, F.lit(": "), e)),
         F.array_compact(F.array(F.when(F.col("call_id").isNull(), "call without identifier"), F.when(F.col("same") > 1, F.concat(label, F.lit(": repeated identifier"))), F.when(F.coalesce("results", F.lit(0)) == 0, F.concat(label, F.lit(": no result"))), F.when(F.col("call_id").isNotNull() & F.col("level").isNull(), F.concat(label, F.lit(": cycle"))))),
     )
-    of_calls = each.groupBy("conv_id", "turn", "text").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(told)))).alias("told"), F.max(F.coalesce("level", F.lit(NO_LEVEL))).alias("level"), F.min(F.coalesce("results", F.lit(0)) > 0).alias("all_linked"))
+    of_calls = each.groupBy("conv_id", "turn", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(told)))).alias("told"), F.max(F.coalesce("level", F.lit(NO_LEVEL))).alias("level"), F.min(F.coalesce("results", F.lit(0)) > 0).alias("all_linked"))
 
     plain = base.where("coalesce(size(tool_calls), 0) <= 0 and result_of is null").select("conv_id", "turn", "role", "content", F.col("turn").alias("place_turn"), F.lit(0).alias("place_level"), F.lit(0).alias("place_kind"), F.lit(0).alias("calls"), F.lit(None).cast("boolean").alias("linked"), F.array().cast("array<string>").alias("errors"), F.lit(None).cast("string").alias("more"), F.lit(None).cast("string").alias("result_of"))
     one_call = F.transform("tool_calls", lambda c: F.concat(F.lit('{"after":'), F.coalesce(F.to_json(c["after"]), F.lit("[]")), F.lit(',"arguments":'), F.coalesce(F.to_json(c["arguments"]), F.lit("null")), F.lit(',"id":'), F.coalesce(json_string(c["id"]), F.lit("null")), F.lit(',"name":'), F.coalesce(json_string(c["name"]), F.lit("null")), F.lit("}")))
-    calling = base.where("size(tool_calls) > 0").join(of_calls.withColumnsRenamed({"conv_id": "c", "turn": "t", "text": "x"}), F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")) & (F.col("text") == F.col("x")))
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")) & (F.col("row") == F.col("x"))
+    calling = calling.join(of_calls.withColumnsRenamed({"conv_id": "c", "turn": "t", "row": "x"}), same)
     calling = calling.select("conv_id", "turn", "role", "content", F.col("turn").alias("place_turn"), F.col("level").alias("place_level"), F.lit(1).alias("place_kind"), F.size("tool_calls").alias("calls"), F.col("all_linked").alias("linked"), F.col("told").alias("errors"), F.concat(F.lit("["), F.concat_ws(",", one_call), F.lit("]")).alias("more"), F.lit(None).cast("string").alias("result_of"))
-    answer = base.where("result_of is not null").join(facts.withColumnRenamed("call_id", "result_of"), ["conv_id", "result_of"], "left")
+    answer = special.where("result_of is not null").join(facts.withColumnRenamed("call_id", "result_of"), ["conv_id", "result_of"], "left")
     answer = answer.select("conv_id", "turn", "role", "content", F.greatest("turn", "call_turn").alias("place_turn"), F.coalesce(F.when(F.col("call_turn") >= F.col("turn"), F.col("level")), F.lit(0)).alias("place_level"), F.lit(2).alias("place_kind"), F.lit(0).alias("calls"), F.col("call_turn").isNotNull().alias("linked"), F.when(F.col("call_turn").isNull(), F.array(F.concat("result_of", F.lit(": no call")))).otherwise(F.array().cast("array<string>")).alias("errors"), F.lit(None).cast("string").alias("more"), "result_of")
 
     everything = reduce(DataFrame.unionByName, (plain, calling, answer))
