@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldspark.functions.expressions import clamp
+from foldspark.functions.ranges import RANGE_ROWS, with_row_number
 
 
 def read_after(log: DataFrame, checkpoint: int, n: int = 100) -> DataFrame:
@@ -13,19 +14,12 @@ def read_after(log: DataFrame, checkpoint: int, n: int = 100) -> DataFrame:
     return log.where(F.col("seq") > checkpoint).orderBy("seq").limit(n)
 
 
-def assign_sequence(rows: DataFrame, head: int, order: list[str], ranges: int = 64) -> DataFrame:
+def assign_sequence(rows: DataFrame, head: int, order: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Number rows head + 1, head + 2, ... in the order of the given columns, the first of which must be numeric.
 
-    Rows are cut at quantiles of the first column, counted range by range, and numbered inside their range, so no task
-    sorts them all.
+    Rows are numbered range by range, with about range_rows rows in a range, so no task sorts them all.
     """
-    cuts = sorted(set(rows.approxQuantile(order[0], [k / ranges for k in range(1, ranges)], 1 / (4 * ranges))))
-    part = sum((F.when(F.col(order[0]) > c, 1).otherwise(0) for c in cuts), F.lit(0)) if cuts else F.lit(0)
-    dealt = rows.withColumn("_range", part)
-    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return dealt.withColumn("_within", within).join(before, "_range").withColumn("seq", F.lit(head) + F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
+    return with_row_number(rows, "_place", order, range_rows=range_rows).withColumn("seq", F.lit(head) + F.col("_place")).drop("_place")
 
 
 def append_summary(appended: DataFrame, by: list[str]) -> DataFrame:
@@ -38,10 +32,13 @@ def redeliver(log: DataFrame, times: str) -> DataFrame:
     return log.withColumn("_copy", F.explode(F.sequence(F.lit(1), clamp(F.coalesce(F.col(times), F.lit(1)), 1, 10).cast("int")))).drop("_copy")
 
 
-def count_windows(log: DataFrame, n: int, shard: str) -> DataFrame:
-    """(shard, window_no, records, first_seq, last_seq): consecutive windows of n records in each shard; the last may be short."""
-    number = F.row_number().over(Window.partitionBy(shard).orderBy("seq"))
-    return log.withColumn("window_no", F.floor((number - 1) / n)).groupBy(shard, "window_no").agg(F.count("*").alias("records"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+def count_windows(log: DataFrame, n: int, shard: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(shard, window_no, records, first_seq, last_seq): consecutive windows of n records in each shard; the last may be short.
+
+    Records are numbered range by range, so a shard with most of the log isn't one task's work.
+    """
+    numbered = with_row_number(log.select(shard, "seq"), "_place", ["seq"], by=shard, range_rows=range_rows).withColumn("window_no", F.floor((F.col("_place") - 1) / n))
+    return numbered.groupBy(shard, "window_no").agg(F.count("*").alias("records"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
 def status(log: DataFrame, checkpoints: DataFrame, shard: str) -> DataFrame:

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.functions.expressions import normal_cdf, normal_pdf
+from foldspark.functions.ranges import RANGE_ROWS, with_ranges
 
 HALF_SPREAD, VOLATILITY, RATE, TENOR_YEARS = 0.0002, 0.25, 0.04, 30 / 365
+#: Ticks in a range of the watch list's join, and its ranges at most.
+CELL_TICKS, MOST_CELLS = 1 << 10, 1 << 16
 
 
 def enrich(marks: DataFrame, volatility: Column | float = VOLATILITY, rate: Column | float = RATE, tenor: Column | float = TENOR_YEARS) -> DataFrame:
@@ -39,10 +42,17 @@ def subscribe(ticks: DataFrame, symbols: DataFrame, max_ticks: int = 0) -> DataF
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy("seq"))).where(F.col("_n") <= max_ticks).drop("_n")
 
 
-def gaps(ticks: DataFrame) -> DataFrame:
-    """(symbol, after_seq, before_seq, missing): holes in each symbol's sequence."""
-    before = F.lag("seq").over(Window.partitionBy("symbol").orderBy("seq"))
-    return ticks.select("symbol", before.alias("after_seq"), F.col("seq").alias("before_seq")).where("before_seq - after_seq > 1").withColumn("missing", F.col("before_seq") - F.col("after_seq") - 1)
+def gaps(ticks: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(symbol, after_seq, before_seq, missing): holes in each symbol's sequence.
+
+    Holes are found inside ranges of seq, and between the last tick of a symbol in one range and its first in the next, so
+    no task sorts all ticks of a symbol.
+    """
+    rows = with_ranges(ticks.select("symbol", "seq").where("seq is not null"), "seq", range_rows)
+    inside = rows.select("symbol", F.lag("seq").over(Window.partitionBy("symbol", "_range").orderBy("seq")).alias("after_seq"), F.col("seq").alias("before_seq"))
+    ends = rows.groupBy("symbol", "_range").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    between = ends.select("symbol", F.lag("last").over(Window.partitionBy("symbol").orderBy("_range")).alias("after_seq"), F.col("first").alias("before_seq"))
+    return inside.unionByName(between).where("before_seq - after_seq > 1").withColumn("missing", F.col("before_seq") - F.col("after_seq") - 1)
 
 
 def snapshot(requests: DataFrame, ticks: DataFrame) -> DataFrame:
@@ -63,26 +73,35 @@ def intervals(watches: DataFrame) -> DataFrame:
     return changes.withColumn("end", F.lead("seq").over(turn)).where("not unwatch").select("session_id", "key", F.col("seq").alias("start"), "end")
 
 
-def watchlist(ticks: DataFrame, watches: DataFrame, width: int = 1024) -> DataFrame:
+def watchlist(ticks: DataFrame, watches: DataFrame, width: int | None = None) -> DataFrame:
     """(session_id, symbol, start, seq, kind): what each watch delivers.
 
-    kind `snapshot` is the latest tick at or before the watch, kind `tick` every later one before its end. The range join
-    runs on (symbol, range of seq), each interval being repeated for the ranges that it touches. Snapshots come from a
-    running maximum by range, so no task orders all ticks of a symbol.
+    kind `snapshot` is the latest tick at or before the watch, kind `tick` every later one before its end. Both are found on
+    (symbol, range of seq): ticks by a join with the intervals, each repeated for the ranges that it touches, snapshots by
+    the latest tick of the range so far, or else of the nearest range before it. So no task orders all ticks of a symbol.
+    `width` is the span of seq in a range; by default it holds CELL_TICKS ticks on average, or more where the ticks' whole
+    span would have more than MOST_CELLS ranges, so an open watch is repeated once for about a thousand ticks.
     """
+    low, high, n = ticks.agg(F.min("seq"), F.max("seq"), F.count("seq")).first()
+    if n == 0:
+        low, high = 0, 0
+    if width is None:
+        width = -(-(high - low + 1) // min(MOST_CELLS, -(-max(n, 1) // CELL_TICKS)))
     spans = intervals(watches)
-    rows = ticks.select(F.upper("symbol").alias("key"), "symbol", "seq", F.floor(F.col("seq") / width).alias("cell"))
-    last = rows.agg(F.max("cell").alias("c")).scalar()
-    reach = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.greatest(F.floor(F.col("start") / width), F.coalesce(F.floor(F.col("end") / width), last)))))
+    cell, top = lambda seq: F.floor(F.col(seq) / width), high // width
+    rows = ticks.select(F.upper("symbol").alias("key"), "symbol", "seq", cell("seq").alias("cell"))
+    reach = spans.withColumn("cell", F.explode(F.sequence(cell("start"), F.greatest(cell("start"), F.least(F.coalesce(cell("end"), F.lit(top)), F.lit(top))))))
     live = reach.join(rows, ["key", "cell"]).where("seq > start and (end is null or seq < end)").select("session_id", "symbol", "start", "seq", F.lit("tick").alias("kind"))
 
-    # the latest tick at or before a start is in its own range, or else the last of the nearest range before it
-    own = spans.withColumn("cell", F.floor(F.col("start") / width))
-    near = own.join(rows, ["key", "cell"]).where("seq <= start").groupBy("session_id", "key", "start").agg(F.max("seq").alias("near"))
-    tops = rows.groupBy("key", "cell").agg(F.max("seq").alias("top"))
-    earlier = own.select("key", "cell").distinct().withColumn("top", F.lit(None).cast("bigint")).withColumn("ask", F.lit(True)).unionByName(tops.withColumn("ask", F.lit(False)))
-    before = F.max("top").over(Window.partitionBy("key").orderBy("cell").rangeBetween(Window.unboundedPreceding, -1))
-    carried = earlier.withColumn("before", before).where("ask").select("key", "cell", "before")
-    seen = own.join(near, ["session_id", "key", "start"], "left").join(carried, ["key", "cell"], "left").select("session_id", "key", "start", F.coalesce("near", "before").alias("seq")).where("seq is not null")
-    shown = seen.join(rows.select("key", "seq", "symbol"), ["key", "seq"]).select("session_id", "symbol", "start", "seq", F.lit("snapshot").alias("kind"))
-    return live.unionByName(shown)
+    tick = F.struct("seq", "symbol")
+    asked = spans.select("session_id", "key", cell("start").alias("cell"), F.col("start").alias("at"), F.lit(None).cast(ticks.schema["symbol"].dataType).alias("symbol"), F.lit(1).alias("ask"))
+    both = rows.select(F.lit(None).cast(spans.schema["session_id"].dataType).alias("session_id"), "key", "cell", F.col("seq").alias("at"), "symbol", F.lit(0).alias("ask")).unionByName(asked)
+    so_far = Window.partitionBy("key", "cell").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = F.last(F.when(F.col("ask") == 0, F.struct(F.col("at").alias("seq"), "symbol")), ignorenulls=True).over(so_far)
+    starts = both.withColumn("near", near).where("ask = 1").drop("symbol", "ask")
+    # the latest tick of the nearest earlier range, for each range that a start is in
+    tops = rows.groupBy("key", "cell").agg(F.max(tick).alias("top")).unionByName(asked.select("key", "cell", F.lit(None).cast(rows.select(tick).schema[0].dataType).alias("top")).distinct())
+    earlier = Window.partitionBy("key").orderBy("cell").rangeBetween(Window.unboundedPreceding, -1)
+    carried = tops.withColumn("before", F.max("top").over(earlier)).groupBy("key", "cell").agg(F.max("before").alias("before"))
+    shown = starts.join(carried, ["key", "cell"]).withColumn("tick", F.coalesce("near", "before")).where("tick is not null")
+    return live.unionByName(shown.select("session_id", "tick.symbol", F.col("at").alias("start"), "tick.seq", F.lit("snapshot").alias("kind")))

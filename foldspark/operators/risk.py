@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.functions.expressions import blank
+from foldspark.functions.ranges import RANGE_ROWS, with_row_number
 from foldspark.operators.positions import AMOUNT, project
 
 
@@ -29,11 +30,10 @@ def unpriced(positions: DataFrame, marks: DataFrame) -> DataFrame:
     return positions.where("symbol is not null").withColumn("_key", F.upper("symbol")).join(known, "_key", "left_anti").groupBy("_key").agg(F.min("symbol").alias("symbol")).drop("_key")
 
 
-def shard_books(books: DataFrame, size: int, by: str | None = None) -> DataFrame:
+def shard_books(books: DataFrame, size: int, by: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Add `shard` (shard-0, shard-1, ...) to (pos, book) rows in order of pos; a size below 1 is 1."""
-    window = Window.partitionBy(by).orderBy("pos") if by else Window.orderBy("pos")
-    number = F.row_number().over(window)
-    return books.withColumn("shard", F.concat(F.lit("shard-"), F.floor((number - 1) / max(1, size)).cast("string")))
+    numbered = with_row_number(books, "_place", ["pos"], by=by, range_rows=range_rows)
+    return numbered.withColumn("shard", F.concat(F.lit("shard-"), F.floor((F.col("_place") - 1) / max(1, size)).cast("string"))).drop("_place")
 
 
 def _spelled(symbols: Column) -> Column:

@@ -4,8 +4,10 @@ import random
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foldspark.functions import ranges
 from foldspark.operators import bars, ledger, logs, orders, outbox, positions, quotes, reactions, risk, saga, views
 
 EVENTS = "stream_id string, version long, event_type string, payload string, pence long"
@@ -188,3 +190,41 @@ def test_logs(spark):
     assert {r.seq: r["count"] for r in logs.redeliver(copies, "times").groupBy("seq").count().collect()} == {1: 1, 2: 3, 3: 10}
     numbered = logs.assign_sequence(log.withColumnRenamed("seq", "at"), 100, ["at"]).orderBy("at").collect()
     assert [r.seq for r in numbered] == list(range(101, 108))
+
+
+def test_ranges_number_as_one_window_does(spark):
+    draw = random.Random(5)
+    rows = [(draw.choice(["a", "a", "a", "b", None]), draw.randrange(200) if k % 40 else None, k) for k in range(700)]
+    frame = spark.createDataFrame(rows, "shard string, seq long, k long")
+    for by in ("shard", None):
+        window = Window.partitionBy(F.lit(0) if by is None else by).orderBy("seq", "k")
+        want = frame.withColumn("n", F.row_number().over(window))
+        got = ranges.with_row_number(frame, "n", ["seq", "k"], by=by, range_rows=30)
+        assert sorted(want.collect(), key=repr) == sorted(got.select(want.columns).collect(), key=repr)
+    cut = ranges.with_ranges(frame, "seq", 30).groupBy("_range").agg(F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high")).orderBy("_range").collect()
+    assert len(cut) > 15 and max(r.n for r in cut) < 90 and all(a.high < b.low for a, b in zip(cut[1:], cut[2:], strict=False))
+    assert sorted(map(tuple, quotes.gaps(frame.withColumnRenamed("shard", "symbol"), 30).collect()), key=repr) == sorted(map(tuple, quotes.gaps(frame.withColumnRenamed("shard", "symbol")).collect()), key=repr)
+    few, many = (logs.count_windows(frame, 3, "shard", n).collect() for n in (30, 10_000))
+    assert sorted(few, key=repr) == sorted(many, key=repr)
+    assert ranges.with_row_number(frame.limit(0), "n", ["seq"]).count() == 0
+
+
+def test_watchlist_width_changes_nothing(spark):
+    draw = random.Random(3)
+    ticks = spark.createDataFrame([(s, draw.choice(["a", "A", "b"]), D(s)) for s in range(1, 400, 2)], "seq long, symbol string, price decimal(18,2)")
+    watches = spark.createDataFrame([(2 * k, draw.randrange(4), draw.choice("abc"), draw.random() < 0.4) for k in range(150)], "seq long, session_id long, symbol string, unwatch boolean")
+    wide, narrow = (sorted(quotes.watchlist(ticks, watches, width=w).collect()) for w in (None, 7))
+    brute, watching = [], {}
+    price = sorted((r.seq, r.symbol) for r in ticks.collect())
+    changes = sorted((r.seq, r.session_id, r.symbol.upper(), r.unwatch) for r in watches.collect())
+    for at, session, key, off in changes:
+        if off:
+            watching.pop((session, key), None)
+        elif (session, key) not in watching:
+            watching[session, key] = at
+            end = min((c[0] for c in changes if c[0] > at and c[1] == session and c[2] == key and c[3]), default=10**9)
+            mine = [t for t in price if t[1].upper() == key]
+            brute += [(session, s, at, q, "tick") for q, s in mine if at < q < end]
+            brute += [(session, s, at, q, "snapshot") for q, s in [t for t in mine if t[0] <= at][-1:]]
+    assert [tuple(r) for r in wide] == [tuple(r) for r in narrow] == sorted(brute)
+    assert quotes.watchlist(ticks.limit(0), watches).count() == 0 and quotes.watchlist(ticks, watches.limit(0)).count() == 0
