@@ -1,4 +1,4 @@
-"""Streaming projections: micro-batches go to an append-only log, and the touched keys' rows are folded again from it.
+"""Streaming projections: micro-batches go to an append-only log in buckets, and the touched keys' rows are folded again from it.
 
 The folds are the batch operators. As they don't care for order or repetition, a replayed micro-batch changes nothing and
 late rows need no watermark; the live view always equals a rebuild.
@@ -13,21 +13,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foldspark.operators import bars, outbox, positions, views
-from foldspark.sources.sinks import append_idempotent, read_appended, upsert_view
+from foldspark.sources.sinks import append_bucketed, append_idempotent, by_keys, read_buckets, upsert_view, with_bucket
 
 Fold = Callable[[DataFrame], DataFrame]
 
 
 def project(stream: DataFrame, keys: list[str], fold: Fold, out: str, checkpoint: str, before: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Start a projection: the log is in out/log, the view in out/view. `before` may look at a batch, or refuse it by raising."""
+    """Start a projection: the log is in out/log, the view in out/view. `before` may look at a batch, or refuse it by raising.
+
+    Both are bucketed by a hash of the keys. A micro-batch reads, folds and writes the buckets of its own keys, whatever else
+    the log and the view hold.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         if before is not None:
             before(batch, batch_id)
-        append_idempotent(batch, batch_id, f"{out}/log")
-        log = read_appended(batch.sparkSession, f"{out}/log", batch_id)
-        touched = batch.select(*keys).distinct()
-        upsert_view(fold(log.drop("batch_id").join(touched, keys, "left_semi")), batch_id, f"{out}/view", keys)
+        rows = with_bucket(batch, keys).persist()
+        try:
+            buckets = [r.bucket for r in rows.select("bucket").distinct().collect()]
+            if not buckets:
+                return
+            append_bucketed(rows, batch_id, f"{out}/log")
+            log = read_buckets(batch.sparkSession, f"{out}/log", buckets, batch_id).drop("bucket")
+            touched = rows.select(*keys).distinct()
+            upsert_view(fold(by_keys(log, touched, keys, "left_semi")), batch_id, f"{out}/view", keys)
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -51,14 +62,18 @@ def tenant_view(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return project(stream, ["tenant_id"], fold, out, checkpoint)
 
 
-def grouped_batches(stream: DataFrame, key: str, order: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Whole-batch mode: a micro-batch is grouped by key with each key's order kept, and committed as one."""
+def grouped_batches(stream: DataFrame, key: str, order: str, out: str, checkpoint: str, step: Fold | None = None) -> StreamingQuery:
+    """Whole-batch mode: a micro-batch is grouped by key with each key's order kept, and committed as one.
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-        append_idempotent(batch.withColumn("place", place), batch_id, out)
+    `step` gets the batch with `place`, the row's number among those of its key, and gives what is written: a window, an
+    ordered fold or an aggregation by key. If it raises, nothing of the batch is committed and all of it comes again.
+    """
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def run(batch: DataFrame, batch_id: int) -> None:
+        placed = batch.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+        append_idempotent(placed if step is None else step(placed), batch_id, out)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def relay(changes: DataFrame, out: str, checkpoint: str, publish: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:

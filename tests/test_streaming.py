@@ -26,7 +26,7 @@ def test_bars_survive_a_failure_in_the_middle(spark, tmp_path):
 
     def poison(batch, batch_id):
         if batch_id == 1 and poisoned[0]:
-            sinks.append_idempotent(batch.where("seq = 10"), batch_id, f"{out}/log")
+            sinks.append_bucketed(sinks.with_bucket(batch.where("seq = 10"), ["symbol", "bar"]), batch_id, f"{out}/log")
             raise ValueError("poison")
 
     stream = feeds.read_changes(spark, str(tmp_path / "in"))
@@ -119,6 +119,40 @@ def test_grouped_batches_keep_each_keys_order(spark, tmp_path):
     assert [r.seq for r in got] == list(range(7, 13))
 
 
+def test_a_step_runs_on_each_key_or_the_whole_batch_comes_again(spark, tmp_path):
+    write_files(spark, TICKS, SCHEMA, tmp_path / "in", 6)
+    stream, down = feeds.read_changes(spark, str(tmp_path / "in")), [True]
+
+    def step(placed):
+        if down[0]:
+            raise ValueError("poison")
+        return placed.groupBy("symbol").agg(F.max("place").alias("rows"), F.sum("size").alias("volume"))
+
+    def start():
+        projections.grouped_batches(stream, "symbol", "seq", str(tmp_path / "out"), str(tmp_path / "cp"), step).awaitTermination()
+
+    with pytest.raises(Exception, match="poison"):
+        start()
+    assert sinks.read_appended(spark, str(tmp_path / "out")) is None
+    down[0] = False
+    start()
+    assert [(r.rows, r.volume) for r in sinks.read_appended(spark, str(tmp_path / "out")).collect()] == [(6, 63)]
+
+
+def test_view_replays_and_leaves_other_buckets_alone(spark, tmp_path):
+    path = str(tmp_path / "view")
+    first = spark.createDataFrame([(k, 1) for k in range(40)] + [(None, 1)], "k int, v int")
+    sinks.upsert_view(first, 0, path, ["k"], 8)
+    for version in (1, 2, 2, 3):
+        sinks.upsert_view(spark.createDataFrame([(3, 10 * version), (50 + version, 1), (None, version)], "k int, v int"), version, path, ["k"], 8)
+    got = {r.k: r.v for r in sinks.read_view(spark, path).collect()}
+    assert got == {k: 1 for k in range(40)} | {None: 3, 3: 30, 51: 1, 52: 1, 53: 1}
+    versions = sinks._versions(spark, path)
+    assert max(map(len, versions.values())) == 2 and [0] in versions.values()
+    sinks.upsert_view(first.limit(0), 4, path, ["k"], 8)
+    assert sinks.read_view(spark, path).count() == 44
+
+
 def test_watchlist_stream_equals_batch(spark, tmp_path):
     ticks = [(k, "abc"[k % 3], float(k)) for k in range(0, 60, 2)]
     watches = [(9, 1, "A", False), (11, 1, "a", False), (31, 1, "A", True), (5, 2, "b", False), (1, 3, "zz", False), (41, 1, "a", False)]
