@@ -2,8 +2,9 @@
 
 Each of TABLES tables concatenates WIDTH quantised random projections floor((a . x + b) / CELL). Vectors of one label that
 share a bucket in any table are compared by their cosine in double precision. A pair counts in the first table where it
-meets, so links are counted without ever being listed; large buckets are dealt into pairs of blocks. Identical vectors of
-a label are one class, whose copies are counted and not compared.
+meets, so links are counted without ever being listed; large buckets are dealt into pairs of blocks. Of buckets with the
+same members one is compared, so close groups, which meet in most tables, are sent once. Identical vectors of a label are
+one class, whose copies are counted and not compared.
 
 At a cosine of 0.93 two vectors share a projection with probability 0.80 and meet in some table with 0.997; at 0.96 with
 more than 0.9999.
@@ -17,13 +18,17 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
-from foldspark.llm.common import U64, connected_components, materialise, mix64
+from foldspark.llm.common import U64, connected_components, map_arrow, materialise, mix64
 
 TABLES = 80
 WIDTH = 12
+#: A power of two above TABLES: a bucket's number holds its table below it.
+LOW = 128
 CELL = 1.5
 SIMILARITY = 0.93
 BLOCK_MEMBERS = 512
@@ -47,52 +52,70 @@ def bucket_hashes(unit: np.ndarray, seed: int = SEED) -> np.ndarray:
     return (h >> U64(32)).astype(np.uint32)
 
 
-_HASHED = "vec_id long, label string, dim int, f1 long, f2 long, unit binary, tables array<int>"
+def _normalised(x: np.ndarray) -> np.ndarray:
+    """Rows as unit vectors in double precision."""
+    x = x.astype(float)
+    x /= np.abs(x).max(1)[:, None]  # so that squares neither overflow nor vanish
+    return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _hash(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """Usable vectors, normalised and hashed; dim 0 marks the others."""
+_READ = "vec_id long, label string, dim int, f1 long, f2 long, raw binary"
+
+
+def _read(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """Components of the usable vectors as bytes, and their digest; dim 0 marks the others."""
     for batch in batches:
-        n = batch.num_rows
-        label, rows = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        n, vectors = batch.num_rows, batch.column(2)
+        size = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        size = np.where(batch.column(0).is_valid().to_numpy(zero_copy_only=False) & batch.column(1).is_valid().to_numpy(zero_copy_only=False), size, 0)
         dim = np.zeros(n, np.int32)
-        unit: list[bytes | None] = [None] * n
+        raw: list[bytes | None] = [None] * n
         prints = np.zeros((n, 2), np.int64)
-        tables: list[np.ndarray | None] = [None] * n
-        groups: dict[int, list[int]] = {}
-        for i, x in enumerate(rows):
-            if x and label[i] is not None and batch.column(0)[i].is_valid:
-                groups.setdefault(len(x), []).append(i)
-        for d, which in groups.items():
-            x = np.array([rows[i] for i in which], float)  # null components become nan
-            biggest = np.abs(x).max(1)
-            ok = np.isfinite(x).all(1) & (biggest > 0)
-            x, which = x[ok] + 0.0, np.array(which)[ok]
-            if not len(which):
-                continue
-            x /= np.abs(x).max(1)[:, None]  # so that squares neither overflow nor vanish
-            u = x / np.sqrt((x * x).sum(1))[:, None]
-            for i, v, t in zip(which.tolist(), u, bucket_hashes(u, seed).view(np.int32), strict=True):
-                dim[i], unit[i], tables[i] = d, v.tobytes(), t
-                prints[i] = np.frombuffer(hashlib.blake2b(np.array(rows[i], float).tobytes(), digest_size=16).digest(), np.int64)
+        for d in np.unique(size[size > 0]).tolist():
+            which = np.flatnonzero(size == d)
+            x = vectors.take(pa.array(which)).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)  # null components become nan
+            ok = np.isfinite(x).all(1) & (x != 0).any(1)
+            dim[which[ok]] = d
+            for i, v in zip(which[ok].tolist(), x[ok].astype(kind), strict=True):
+                raw[i] = v.tobytes()
+                prints[i] = np.frombuffer(hashlib.blake2b(raw[i], digest_size=16).digest(), np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(dim), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(unit, pa.binary()), pa.array(tables, pa.list_(pa.int32()))],
-            names=["vec_id", "label", "dim", "f1", "f2", "unit", "tables"],
+            [batch.column(0), batch.column(1), pa.array(dim), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(raw, pa.binary())], names=["vec_id", "label", "dim", "f1", "f2", "raw"]
         )
 
 
-def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+def _hash(batches: Iterator[pa.RecordBatch], kind: str, seed: int) -> Iterator[pa.RecordBatch]:
+    """Add the bucket hashes of each vector."""
+    for batch in batches:
+        dim, raw = batch.column("dim").to_numpy(), batch.column("raw").to_pylist()
+        tables = np.zeros((batch.num_rows, TABLES), np.uint32)
+        for d in np.unique(dim).tolist():
+            which = np.flatnonzero(dim == d)
+            x = np.frombuffer(b"".join(raw[i] for i in which.tolist()), kind).reshape(-1, d)
+            tables[which] = bucket_hashes(_normalised(x), seed)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * TABLES), pa.array(tables.view(np.int32).ravel()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "tables"])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], similarity: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Links inside each group (one bucket, one pair of blocks) of rows that come group by group.
 
+    Buckets and labels of a pair are compared again, so groups or buckets whose hashes agree by chance add nothing.
     Gives (rep, links, null) counts of linked rows and (rep, null, other) links that join what the group's links join.
     """
     held: pa.Table | None = None
 
     def finish(t: pa.Table) -> pa.RecordBatch:
         key = np.asarray(t.column("group").combine_chunks())
-        rep, copies, block, one, table = (np.asarray(t.column(k).combine_chunks()) for k in ("rep", "copies", "block", "one", "t"))
-        unit = [np.frombuffer(x.as_buffer(), float) for x in t.column("unit")]
-        buckets = np.asarray(t.column("tables").combine_chunks().flatten()).reshape(len(key), TABLES)
+        rep, copies, block, one, bucket = (np.asarray(t.column(k).combine_chunks()) for k in ("rep", "copies", "block", "one", "bucket"))
+        label = np.asarray(t.column("label").combine_chunks().dictionary_encode().indices)
+        table = bucket & (LOW - 1)
+        shared = t.column("shared").combine_chunks()
+        buckets = np.full((len(key), TABLES), -1, np.int64)  # the kept buckets of each vector, by table; none is -1
+        codes = np.asarray(shared.flatten())
+        buckets[np.repeat(np.arange(len(key)), shared.value_lengths().to_numpy()), codes & (LOW - 1)] = codes
+        raw = [np.frombuffer(x.as_buffer(), kind) for x in t.column("raw")]
+        dim = np.array([len(v) for v in raw])
         links: dict[int, int] = {}
         edges: list[tuple[int, int]] = []
         root: dict[tuple[int, int], tuple[int, int]] = {}
@@ -103,21 +126,24 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[p
                 c = root[c]
             return c
 
-        x = np.zeros((len(key), max(map(len, unit), default=0)))
-        for i, v in enumerate(unit):
-            x[i, : len(v)] = v
+        x = np.zeros((len(key), int(dim.max(initial=0))))
+        for d in np.unique(dim).tolist():
+            which = np.flatnonzero(dim == d)
+            x[which, :d] = _normalised(np.array([raw[i] for i in which.tolist()]))
         step = 1
         while step < len(key):
             left = np.flatnonzero(key[:-step] == key[step:])
             if not len(left):
                 break
-            left = left[one[left] | (block[left] != block[left + step])]  # two blocks: only across them
+            right = left + step
+            alike = (bucket[left] == bucket[right]) & (label[left] == label[right]) & (dim[left] == dim[right])
+            left = left[alike & (one[left] | (block[left] != block[right]))]  # two blocks: only across them
             for at in range(0, len(left), PAIRS_AT_ONCE):
                 i = left[at : at + PAIRS_AT_ONCE]
                 j = i + step
                 close = np.einsum("ij,ij->i", x[i], x[j]) >= similarity
                 i, j = i[close], j[close]
-                earlier = (buckets[i] == buckets[j]) & (np.arange(TABLES) < table[i][:, None])
+                earlier = (buckets[i] == buckets[j]) & (buckets[i] >= 0) & (np.arange(TABLES) < table[i][:, None])
                 fresh = ~earlier.any(1)
                 for p, q in zip(i[fresh].tolist(), j[fresh].tolist(), strict=True):
                     links[p] = links.get(p, 0) + int(copies[q])
@@ -150,32 +176,39 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, seed: in
     cosine in double precision is at least `similarity`. n_links counts the other rows linked directly, component_id is
     the smallest vec_id that links reach, kept says that it is the row's own. A vector that is null, empty, zero or holds
     a null or non-finite component, and a row without vec_id or label, links with nothing and is its own component.
-    Repeated rows link with each other. An empty table gives no rows. Only vec_id, embedding and label are read.
+    Repeated rows link with each other; different vectors under one vec_id are one node. An empty table gives no rows. Only vec_id, embedding and label are read.
     """
+    kind = "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "<f8"
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    hashed = materialise(rows.mapInArrow(partial(_hash, seed=seed), _HASHED), "hashed-vectors")
-    usable = hashed.where("dim > 0")
-    kind = ["label", "dim", "f1", "f2"]
-    classes = materialise(usable.groupBy(*kind).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vector-classes")
-    reps = usable.join(classes.withColumnRenamed("rep", "vec_id"), [*kind, "vec_id"]).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "rep")
-    reps = materialise(reps.select("rep", "label", "dim", "copies", "unit", "tables"), "vector-representatives")
-
-    bucket = ["label", "dim", "t", "h"]
-    placed = reps.select("rep", "label", "dim", F.posexplode("tables").alias("t", "h"))
-    shared = placed.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
-    member = placed.join(shared, bucket).withColumn("blocks", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int"))
-    member = member.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    read = materialise(map_arrow(rows, partial(_read, kind=kind), _READ), "read-vectors")
+    usable = read.where("dim > 0")
+    same = ["label", "dim", "f1", "f2"]
+    classes = usable.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("raw").alias("raw"))
+    reps = materialise(map_arrow(classes, partial(_hash, kind=kind, seed=seed), StructType([*classes.schema, StructField("tables", ArrayType(IntegerType()))])), "vector-classes")
+
+    # a bucket's number: a hash of label, dim and place, with the table in its low bits
+    number = F.transform("tables", lambda h, t: F.xxhash64("label", "dim", t, h).bitwiseAND(F.lit((1 << 63) - LOW)).bitwiseOR(t.cast("long")))
+    placed = reps.select("rep", F.explode(number).alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    member = materialise(placed.join(sizes, "bucket"), "bucket-members")
+    # of buckets with the same members only the first table's counts: each pair in it met there already
+    prints = member.groupBy("bucket").agg(F.first("size").alias("size"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x2"))
+    kept = prints.groupBy("size", "low", "x1", "x2").agg(F.min_by("bucket", F.col("bucket").bitwiseAND(F.lit(LOW - 1))).alias("bucket")).select("bucket")
+    member = materialise(member.join(kept, "bucket"), "kept-members")
+    shared = member.groupBy("rep").agg(F.collect_set("bucket").alias("shared"))  # TABLES at most
+    spread = member.withColumn("blocks", F.ceil(F.col("size") / BLOCK_MEMBERS).cast("int"))
+    spread = spread.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("partner", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first, second = F.least("block", "partner"), F.greatest("block", "partner")
-    dealt = member.select("rep", "t", "block", (first == second).alias("one"), F.xxhash64(*bucket, first, second).alias("group"))
-    dealt = dealt.join(reps.select("rep", "copies", "unit", "tables"), "rep")
+    dealt = spread.select("rep", "bucket", "block", (first == second).alias("one"), F.xxhash64("bucket", first, second).alias("group"))
+    dealt = dealt.join(reps.select("rep", "label", "copies", "raw").join(shared, "rep"), "rep")
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = dealt.repartition(parts, "group").sortWithinPartitions("group", "rep").mapInArrow(partial(_compare, similarity=similarity), "a long, links long, b long")
+    found = map_arrow(dealt.repartition(parts, "group").sortWithinPartitions("group", "rep"), partial(_compare, similarity=similarity, kind=kind), "a long, links long, b long")
     found = materialise(found, "vector-links")
 
     counts = found.where("links is not null").groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     component = connected_components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
-    known = classes.join(counts, "rep", "left").join(component, "rep", "left")
-    known = known.select(*kind, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = usable.join(known, kind).select("vec_id", "n_links", "component_id")
-    alone = hashed.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    known = reps.select(*same, "rep", "copies").join(counts, "rep", "left").join(component, "rep", "left")
+    known = known.select(*same, (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = usable.select("vec_id", *same).join(known, same).select("vec_id", "n_links", "component_id")
+    alone = read.where("dim = 0").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -190,6 +190,23 @@ def test_embedding_near_duplicates(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embedding_groups_larger_than_a_block(spark, monkeypatch):
+    """Single-precision vectors, close groups of several blocks and many copies, against brute force."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK_MEMBERS", 16)
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((6, 24))
+    x = np.array([centres[k % 6] + rng.standard_normal(24) * (0.05, 0.15, 0.2)[k % 3] for k in range(240)]).astype(np.float32)
+    x[200:] = x[7]
+    label = ["a" if k % 12 < 9 else "b" for k in range(240)]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = [(a, b) for a in range(240) for b in range(a + 1, 240) if label[a] == label[b] and u[a] @ u[b] >= 0.93]
+    best, degree = components(range(240), linked), np.bincount(np.array(linked).ravel(), minlength=240)
+    frame = spark.createDataFrame([(k, x[k].tolist(), label[k]) for k in range(240)], "vec_id long, embedding array<float>, label string")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame).collect())
+    assert sum(n for _, n, _ in got) >= 0.99 * degree.sum() and all(n <= degree[k] for k, n, _ in got)
+    assert [c for _, _, c in got] == [best[k] for k in range(240)]
+
+
 def test_hash_tables_find_close_vectors():
     rng = np.random.default_rng(9)
     x = rng.standard_normal((3000, 64))
