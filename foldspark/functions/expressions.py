@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,10 @@ def clamp(value: Column, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
-def same_text(a: Column, b: Column) -> Column:
-    """Equality that ignores case."""
-    return F.upper(a) == F.upper(b)
+def member_of(rows: DataFrame, column: str, table: DataFrame, name: str) -> DataFrame:
+    """Add boolean `name`: whether the column's text is in that column of the reference table, ignoring case."""
+    keys = table.select(F.lower(column).alias("_key")).distinct().withColumn("_in", F.lit(True))
+    return rows.withColumn("_key", F.lower(column)).join(keys, "_key", "left").withColumn(name, F.coalesce("_in", F.lit(False))).drop("_key", "_in")
 
 
 def first_failure(*rules: tuple[Column, str, str]) -> tuple[Column, Column]:

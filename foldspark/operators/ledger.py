@@ -137,8 +137,8 @@ def assign_versions(new: DataFrame, heads: DataFrame, order: list[str]) -> DataF
     return new.withColumn("_n", number).join(heads.select("stream_id", F.col("version").alias("_head")), "stream_id", "left").withColumn("version", (F.coalesce("_head", F.lit(0)) + F.col("_n")).cast("bigint")).drop("_n", "_head")
 
 
-def _decide(state: tuple | None, row: tuple) -> tuple[tuple, tuple]:
-    kind, pence, expected, invalid, exists, balance, head = row[2:9]
+def _decide(state: tuple | None, row: Sequence) -> tuple[tuple, tuple]:
+    kind, pence, expected, invalid, exists, balance, head = row
     if state is not None:
         exists, balance, head = state
     status, error = "ok", None
@@ -172,7 +172,8 @@ def adjudicate(commands: DataFrame, events: DataFrame) -> DataFrame:
     """
     now = balances(events).select(F.col("stream_id").alias("account_id"), "exists", "balance", "version")
     rows = commands.join(now, "account_id", "left").select("account_id", "arrival", "kind", "pence", "expected_version", (blank(F.col("account_id").cast("string")) | blank(F.col("holder"))).alias("invalid"), F.coalesce("exists", F.lit(False)).alias("exists"), F.coalesce("balance", F.lit(0).cast("bigint")).alias("balance"), F.coalesce("version", F.lit(0).cast("bigint")).alias("head"))
-    return ordered_fold(rows, "account_id", ["arrival"], _decide, "status string, error string, new_balance bigint, new_version bigint").drop("invalid", "exists", "balance", "head")
+    reads = ["kind", "pence", "expected_version", "invalid", "exists", "balance", "head"]
+    return ordered_fold(rows, "account_id", ["arrival"], _decide, "status string, error string, new_balance bigint, new_version bigint", reads).drop("invalid", "exists", "balance", "head")
 
 
 def accepted_events(results: DataFrame) -> DataFrame:

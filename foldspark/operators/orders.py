@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldspark.functions.expressions import first_failure
+from foldspark.functions.expressions import first_failure, member_of
 from foldspark.functions.ordered_fold import ordered_fold
 
 
-def _reserve(remaining: int | None, row: tuple) -> tuple[int | None, tuple]:
-    quantity, stock = row[2:4]
+def _reserve(remaining: int | None, row: Sequence) -> tuple[int | None, tuple]:
+    quantity, stock = row
     if stock is None:
         return None, ("not-found", None)
     if remaining is None:
@@ -27,7 +29,7 @@ def allocate(requests: DataFrame, stock: DataFrame) -> DataFrame:
     """
     table = stock.select(F.upper(F.col("sku").cast("string")).alias("_key"), F.col("stock"))
     rows = requests.withColumn("_key", F.upper(F.col("sku").cast("string"))).join(table, "_key", "left").select("_key", "arrival", F.col("quantity").cast("bigint").alias("quantity"), "stock", "sku")
-    return ordered_fold(rows, "_key", ["arrival"], _reserve, "status string, remaining bigint").select("sku", "arrival", "quantity", "status", "remaining")
+    return ordered_fold(rows, "_key", ["arrival"], _reserve, "status string, remaining bigint", ["quantity", "stock"]).select("sku", "arrival", "quantity", "status", "remaining")
 
 
 def place(requests: DataFrame, customers: DataFrame, stock: DataFrame) -> DataFrame:
@@ -36,11 +38,10 @@ def place(requests: DataFrame, customers: DataFrame, stock: DataFrame) -> DataFr
     Quantity above zero, then a known customer, then an amount above zero, then the charge, then the stock. A request that
     gets no stock has its charge refunded. Only charged requests compete for stock.
     """
-    names = customers.select(F.lower("customer").alias("_who")).distinct().withColumn("_known", F.lit(True))
-    rows = requests.withColumn("_who", F.lower("customer")).join(names, "_who", "left").withColumn("amount", (F.col("quantity") * F.col("unit_price")).cast("decimal(38,2)"))
+    rows = member_of(requests, "customer", customers, "_known").withColumn("amount", (F.col("quantity") * F.col("unit_price")).cast("decimal(38,2)"))
     status, _ = first_failure(
         (F.coalesce(F.col("quantity") <= 0, F.lit(True)), "validation-error", "quantity"),
-        (F.col("_known").isNull(), "not-found", "customer"),
+        (~F.col("_known"), "not-found", "customer"),
         (F.coalesce(F.col("amount") <= 0, F.lit(True)), "validation-error", "amount"),
     )
     checked = rows.withColumn("status", status)

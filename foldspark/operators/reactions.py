@@ -80,9 +80,20 @@ def subscribe(events: DataFrame, since: int, from_log: bool = False) -> DataFram
     return events if from_log else events.where(F.col("seq") > since)
 
 
-def trace(events: DataFrame, entries: DataFrame, expected: list[str]) -> DataFrame:
-    """(reaction, emitted, found, missing): how many emitted correlation ids are in each expected reaction's journal."""
+def _expected(events: DataFrame, entries: DataFrame, expected: list[str]) -> DataFrame:
+    """(reaction, correlation_id, _there) of every emitted id and every expected reaction; _there is null without an entry."""
     ids = events.select("correlation_id").distinct()
     wanted = ids.select("correlation_id", F.explode(F.array(*map(F.lit, expected))).alias("reaction"))
     have = entries.select("correlation_id", "reaction").distinct().withColumn("_there", F.lit(1))
-    return wanted.join(have, ["correlation_id", "reaction"], "left").groupBy("reaction").agg(F.count("*").alias("emitted"), F.count("_there").alias("found"), (F.count("*") - F.count("_there")).alias("missing"))
+    return wanted.join(have, ["correlation_id", "reaction"], "left")
+
+
+def trace(events: DataFrame, entries: DataFrame, expected: list[str]) -> DataFrame:
+    """(reaction, emitted, found, missing): how many emitted correlation ids are in each expected reaction's journal."""
+    both = _expected(events, entries, expected)
+    return both.groupBy("reaction").agg(F.count("*").alias("emitted"), F.count("_there").alias("found"), (F.count("*") - F.count("_there")).alias("missing"))
+
+
+def missing(events: DataFrame, entries: DataFrame, expected: list[str]) -> DataFrame:
+    """(reaction, correlation_id): each emitted id that an expected reaction's journal lacks."""
+    return _expected(events, entries, expected).where("_there is null").select("reaction", "correlation_id")

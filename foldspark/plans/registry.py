@@ -512,6 +512,17 @@ def correlation_coverage(spark, sf_dir):
     return reactions.trace(events, reactions.journal(events), list(reactions.REGISTRY))
 
 
+@query(
+    "correlation_missing",
+    """SELECT r.reaction, correlation_id FROM reaction_event CROSS JOIN (VALUES ('analytics'), ('cache-warmer'), ('trial-clock'), ('welcome-email')) r(reaction)
+    WHERE r.reaction = 'trial-clock' AND plan <> 'standard'""",
+    "reaction_event",
+)
+def correlation_missing(spark, sf_dir):
+    events = _reaction_events(spark, sf_dir)
+    return reactions.missing(events, reactions.journal(events), list(reactions.REGISTRY))
+
+
 @query(
     "retry_dead_letter",
     """shared AS (SELECT event_id, company, CASE WHEN seq % 8 <> 0 THEN concat('corr-', seq // 2) END AS correlation_id FROM reaction_event)

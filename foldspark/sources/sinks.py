@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldspark.sources.feeds import encode_records
+
 
 def _folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
     """Numbers of the complete folders `<prefix><number>` under a path."""
@@ -22,6 +24,11 @@ def append_idempotent(batch: DataFrame, batch_id: int, path: str) -> None:
     batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def publish_records(rows: DataFrame, options: dict[str, str], key: str) -> None:
+    """Send a micro-batch to Kafka (options name the servers and the topic); a replay sends it again under the same keys."""
+    encode_records(rows, key).write.format("kafka").options(**options).save()
+
+
 def read_appended(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame | None:
     """All complete micro-batches under a path, or those up to a number; None if there are none."""
     found = [b for b in _folders(spark, path, "batch_id=") if upto is None or b <= upto]

@@ -104,9 +104,10 @@ def rolling_bars(stream: DataFrame, time: str, bar: str = "1 hour", delay: str |
 
 
 def batch_report(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """(batch_id, checkpoint_before, checkpoint_after, read, applied, failed, reason) of a query's micro-batches.
+    """(batch_id, checkpoint_before, checkpoint_after, read, applied, late, failed, reason) of a query's micro-batches.
 
     The checkpoints are the sources' offsets; applied is what the sink says it wrote, or what was read where it doesn't say.
+    late counts the rows that its stateful steps dropped because the watermark had passed them.
     An error is the last row, whose batch moved no checkpoint. Spark remembers as many batches as
     spark.sql.streaming.numRecentProgressUpdates says.
     """
@@ -114,9 +115,10 @@ def batch_report(spark: SparkSession, query: StreamingQuery) -> DataFrame:
     for p in query.recentProgress:
         before, after = ("; ".join(str(s[k]) for s in p["sources"]) for k in ("startOffset", "endOffset"))
         wrote = p["sink"]["numOutputRows"]
-        rows.append((p["batchId"], before, after, p["numInputRows"], wrote if wrote is not None and wrote >= 0 else p["numInputRows"], False, None))
+        late = sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"])
+        rows.append((p["batchId"], before, after, p["numInputRows"], wrote if wrote is not None and wrote >= 0 else p["numInputRows"], late, False, None))
     error = query.exception()
     if error is not None:
         at = rows[-1][2] if rows else None
-        rows.append((rows[-1][0] + 1 if rows else 0, at, at, None, 0, True, str(error)))
-    return spark.createDataFrame(rows, "batch_id long, checkpoint_before string, checkpoint_after string, read long, applied long, failed boolean, reason string")
+        rows.append((rows[-1][0] + 1 if rows else 0, at, at, None, 0, 0, True, str(error)))
+    return spark.createDataFrame(rows, "batch_id long, checkpoint_before string, checkpoint_after string, read long, applied long, late long, failed boolean, reason string")

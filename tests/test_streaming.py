@@ -101,6 +101,27 @@ def test_dedupe_and_rolling_bars(spark, tmp_path):
     assert spark.table("bounded").count() == 30
 
 
+def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
+    for k, hour in enumerate((1, 9, 10, 2, 11)):  # the fourth file comes eight hours late
+        rows = [(10 * k + n, "A", 1.0, 1, f"2024-01-01 {hour:02d}:0{n}:00") for n in range(3)]
+        spark.createDataFrame(rows, "seq long, symbol string, price double, size long, ts string").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema("seq long, symbol string, price double, size long, ts string").parquet(*[str(tmp_path / "in/*")])
+    query = projections.rolling_bars(stream, "ts", "1 hour", "1 hour").writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    report = projections.batch_report(spark, query)
+    assert report.agg(F.sum("late")).first()[0] == 3
+    assert {r.bar.start.hour for r in spark.table("late").collect()} <= {1, 9, 10, 11}
+
+
+def test_broker_records_round_trip(spark):
+    rows = spark.createDataFrame([(1, "a", Decimal("1.50")), (2, None, None)], "seq long, name string, total decimal(18,2)")
+    sent = feeds.encode_records(rows, "seq")
+    assert [r.key for r in sent.orderBy("key").collect()] == ["1", "2"]
+    back = feeds.decode_records(sent.union(spark.createDataFrame([("3", "no json")], "key string, value string")), rows.schema)
+    got = {r.seq: (r.name, r.total, r._bad) for r in back.collect()}
+    assert got == {1: ("a", Decimal("1.50"), None), 2: (None, None, None), None: (None, None, "no json")}
+
+
 def test_reactions_are_independent(spark, tmp_path):
     events = [(1, "acme", "standard", "c1", "a@x.io"), (2, "bounce-corp", "standard", "c2", "b@x.io"), (3, "big", "enterprise", "c3", "c@x.io")]
     write_files(spark, events, "tenant_id long, company string, plan string, correlation_id string, email string", tmp_path / "in", 2)
