@@ -36,11 +36,10 @@ def shard_books(books: DataFrame, size: int, by: str | None = None, range_rows:
     return numbered.withColumn("shard", F.concat(F.lit("shard-"), F.floor((F.col("_place") - 1) / max(1, size)).cast("string"))).drop("_place")
 
 
-def _spelled(symbols: Column) -> Column:
-    """Distinct ignoring case and sorted ignoring case, each in the spelling that sorts first."""
-    pairs = F.array_sort(F.transform(symbols, lambda s: F.struct(F.upper(s).alias("k"), s.alias("s"))))
-    first = F.filter(pairs, lambda p, i: (i == 0) | (p["k"] != F.get(pairs, i - 1)["k"]))
-    return F.transform(first, lambda p: p["s"])
+def _names(key: str, name: str) -> Column:
+    """The names that aren't null, one for each key, sorted by key; the keys must be distinct."""
+    pairs = F.array_sort(F.collect_list(F.when(F.col(name).isNotNull(), F.struct(F.col(key).alias("k"), F.col(name).alias("s")))))
+    return F.transform(pairs, lambda p: p["s"])
 
 
 def shard_partials(sharded: DataFrame, positions: DataFrame, marks: DataFrame, failed: DataFrame | None = None) -> DataFrame:
@@ -51,12 +50,20 @@ def shard_partials(sharded: DataFrame, positions: DataFrame, marks: DataFrame, f
     unread = (failed if failed is not None else sharded.limit(0)).select("book", F.lit(True).alias("_failed"))
     rows = sharded.join(mark(positions, marks), "book", "left").join(unread.distinct(), "book", "left")
     some = F.col("symbol").isNotNull()
-    return rows.groupBy("shard").agg(
+    # by symbol first, so that each name is there once before names are gathered
+    keyed = rows.groupBy("shard", F.upper("symbol").alias("_key")).agg(
+        F.sum("market_value").alias("market_value"),
+        F.sum("realized_cash").alias("realized_cash"),
+        F.count(F.when(some & F.col("priced"), 1)).alias("valued"),
+        F.min(F.when(some & ~F.col("priced"), F.col("symbol"))).alias("name"),
+        F.max("_failed").alias("failed"),
+    )
+    return keyed.groupBy("shard").agg(
         F.coalesce(F.sum("market_value"), F.lit(0)).cast(AMOUNT).alias("market_value"),
         F.coalesce(F.sum("realized_cash"), F.lit(0)).cast(AMOUNT).alias("realized_cash"),
-        F.count(F.when(some & F.col("priced"), 1)).alias("valued"),
-        _spelled(F.collect_set(F.when(some & ~F.col("priced"), F.col("symbol")))).alias("unpriced"),
-        F.coalesce(F.max("_failed"), F.lit(False)).alias("failed"),
+        F.sum("valued").alias("valued"),
+        _names("_key", "name").alias("unpriced"),
+        F.coalesce(F.max("failed"), F.lit(False)).alias("failed"),
     )
 
 
@@ -70,13 +77,18 @@ def run(sharded: DataFrame, deliveries: DataFrame, marks: DataFrame, failed: Dat
     # one row a shard and unpriced symbol, so that one pass gives the sums and the distinct symbols
     rows = parts.select("*", F.posexplode_outer("unpriced").alias("place", "symbol"))
     shard, fine = F.coalesce("place", F.lit(0)) == 0, ~F.col("failed")
-    total = rows.agg(
-        *(F.coalesce(F.sum(F.when(shard & fine, F.col(c))), F.lit(0)).cast(AMOUNT).alias(c) for c in ("market_value", "realized_cash")),
-        F.coalesce(F.sum(F.when(shard & fine, F.col("valued"))), F.lit(0)).alias("valued"),
+    keyed = rows.groupBy(F.upper("symbol").alias("_key")).agg(
+        *(F.sum(F.when(shard & fine, F.col(c))).alias(c) for c in ("market_value", "realized_cash", "valued")),
         F.count(F.when(shard, 1)).alias("shards"),
         F.count(F.when(shard & ~fine, 1)).alias("failed_shards"),
-        F.array_sort(F.collect_set(F.when(shard & ~fine, F.col("shard")))).alias("failed_names"),
-        _spelled(F.collect_set(F.when(fine, F.col("symbol")))).alias("unpriced_names"),
+        F.collect_list(F.when(shard & ~fine, F.col("shard"))).alias("failed_names"),
+        F.min(F.when(fine, F.col("symbol"))).alias("name"),
+    )
+    total = keyed.agg(
+        *(F.coalesce(F.sum(c), F.lit(0)).cast(AMOUNT).alias(c) for c in ("market_value", "realized_cash")),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("valued", "shards", "failed_shards")),
+        F.array_sort(F.flatten(F.collect_list("failed_names"))).alias("failed"),
+        _names("_key", "name").alias("unpriced"),
     )
-    total = total.withColumnsRenamed({"failed_names": "failed", "unpriced_names": "unpriced"}).withColumn("unpriced_symbols", F.size("unpriced").cast("long"))
+    total = total.withColumn("unpriced_symbols", F.size("unpriced").cast("long"))
     return total.withColumns({"total": (F.col("market_value") + F.col("realized_cash")).cast(AMOUNT), "is_complete": F.col("failed_shards") == 0, "is_fully_priced": F.col("unpriced_symbols") == 0})

@@ -228,3 +228,15 @@ def test_watchlist_width_changes_nothing(spark):
             brute += [(session, s, at, q, "snapshot") for q, s in [t for t in mine if t[0] <= at][-1:]]
     assert [tuple(r) for r in wide] == [tuple(r) for r in narrow] == sorted(brute)
     assert quotes.watchlist(ticks.limit(0), watches).count() == 0 and quotes.watchlist(ticks, watches.limit(0)).count() == 0
+
+
+def test_many_unpriced_symbols_are_named_once(spark):
+    n = 50_000
+    deliveries = spark.range(2 * n).select(F.concat(F.lit("B"), F.col("id") % 7).alias("book"), "id", F.concat(F.when(F.col("id") < n, "s").otherwise("S"), F.lpad((F.col("id") % n).cast("string"), 6, "0")).alias("symbol"))
+    deliveries = deliveries.select("book", F.col("id").alias("version"), "symbol", F.lit("Buy").alias("side"), F.lit(D(1)).cast("decimal(18,2)").alias("quantity"), F.lit(D(2)).cast("decimal(18,2)").alias("price"))
+    books = risk.shard_books(spark.createDataFrame([(k, f"B{k}") for k in range(7)], "pos long, book string"), 2)
+    marks = spark.createDataFrame([("S000001", D(3))], "symbol string, mid decimal(18,4)")
+    row = risk.run(books, deliveries, marks, spark.createDataFrame([("B6",)], "book string")).first()
+    assert row.unpriced == sorted(row.unpriced) and len(row.unpriced) == row.unpriced_symbols and row.failed == ["shard-3"]
+    assert len({s.upper() for s in row.unpriced}) == len(row.unpriced) and all(s[0] == "S" for s in row.unpriced if int(s[1:]) % 7 != 6)
+    assert row.shards == 4 and row.failed_shards == 1 and row.realized_cash == -2 * sum(1 for k in range(2 * n) if k % 7 != 6)
