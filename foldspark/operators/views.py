@@ -41,15 +41,23 @@ def replay(*logs: tuple[str, DataFrame]) -> DataFrame:
     return read_recorded(dict(logs))
 
 
+def tenant_events(records: DataFrame, reverse: bool = False) -> DataFrame:
+    """(tenant_id, company, version, arrival) of the recorded tenant events."""
+    event = F.from_json("body", "tenant_id bigint, company string, version bigint")
+    arrival = F.col("sequence") * (-1 if reverse else 1)
+    return records.where(F.col("topic").isin("tenant:created", "tenant:renamed")).select(event.alias("e"), arrival.alias("arrival")).select("e.*", "arrival")
+
+
+def user_events(records: DataFrame) -> DataFrame:
+    """(user_id, tenant_id, email) of the recorded user events."""
+    event = F.from_json("body", "user_id string, tenant_id bigint, email string")
+    return records.where("topic = 'user:created'").select(event.alias("e")).select("e.*")
+
+
 def rebuild(logs: dict[str, DataFrame], reverse: bool = False) -> DataFrame:
     """The view from recorded logs alone; unknown topics are skipped. Reversed arrival must give the same view."""
     rows = replay(*logs.items())
-    arrival = F.col("sequence") * (-1 if reverse else 1)
-    tenant = F.from_json("body", "tenant_id bigint, company string, version bigint")
-    user = F.from_json("body", "user_id string, tenant_id bigint, email string")
-    tenants = rows.where(F.col("topic").isin("tenant:created", "tenant:renamed")).select(tenant.alias("e"), arrival.alias("arrival")).select("e.*", "arrival")
-    users = rows.where("topic = 'user:created'").select(user.alias("e")).select("e.*")
-    return tenant_users(tenants, users, "arrival")
+    return tenant_users(tenant_events(rows, reverse), user_events(rows), "arrival")
 
 
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:

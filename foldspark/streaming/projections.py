@@ -1,7 +1,9 @@
-"""Streaming projections: micro-batches go to an append-only log in buckets, and the touched keys' rows are folded again from it.
+"""Streaming projections, relay, whole-batch mode and stateful aggregations.
 
-The folds are the batch operators. As they don't care for order or repetition, a replayed micro-batch changes nothing and
-late rows need no watermark; the live view always equals a rebuild.
+Bars, positions and the tenants' view are kept by merging partial states (`incremental`). `project` is for folds that have no
+such states: micro-batches go to an append-only log in buckets, and the touched keys' rows are folded again from it. Neither
+cares for order or repetition, so a replayed micro-batch changes nothing and late rows need no watermark; the live view always
+equals a rebuild.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from foldspark.operators import bars, outbox, positions, views
+from foldspark.operators import outbox
 from foldspark.sources.sinks import append_bucketed, append_idempotent, by_keys, read_buckets, upsert_view, with_bucket
+from foldspark.streaming import incremental
 
 Fold = Callable[[DataFrame], DataFrame]
 
@@ -43,23 +46,30 @@ def project(stream: DataFrame, keys: list[str], fold: Fold, out: str, checkpoint
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def merged(stream: DataFrame, projection: incremental.Projection, out: str, checkpoint: str, before: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+    """Start a projection that merges partial states; `incremental.read` reads its view. `before` may refuse a batch by raising."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        if before is not None:
+            before(batch, batch_id)
+        incremental.apply(batch, batch_id, out, projection)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def tick_bars(stream: DataFrame, out: str, checkpoint: str, before: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """OHLC bars of a tick stream. The source's limit on files or offsets a trigger is the window after which progress is kept."""
-    return project(stream, ["symbol", "bar"], bars.ohlc, out, checkpoint, before)
+    """OHLC bars of a tick stream. For progress by a number of records, whatever the batches hold, see `windows`."""
+    return merged(stream, incremental.BARS, out, checkpoint, before)
 
 
 def book_positions(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Positions of a trade stream."""
-    return project(stream, ["book", "symbol"], positions.project, out, checkpoint)
+    return merged(stream, incremental.POSITIONS, out, checkpoint)
 
 
 def tenant_view(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """The tenants-with-users view of a stream of (source, topic, body, sequence, tenant_id) records."""
-
-    def fold(log: DataFrame) -> DataFrame:
-        return views.rebuild({"all": log.select("topic", "body", "sequence")})
-
-    return project(stream, ["tenant_id"], fold, out, checkpoint)
+    """The tenants-with-users view of a stream of (topic, body, sequence) records."""
+    return merged(stream, incremental.TENANTS, out, checkpoint)
 
 
 def grouped_batches(stream: DataFrame, key: str, order: str, out: str, checkpoint: str, step: Fold | None = None) -> StreamingQuery:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldspark.operators import bars, outbox, positions, quotes, views
 from foldspark.sources import feeds, sinks
-from foldspark.streaming import fanout, projections, watchlist
+from foldspark.streaming import fanout, incremental, projections, watchlist
 
 PRICES = [(10, 1), (11, 2), (12, 4), (13, 8), (14, 16), (15, 32)]
 TICKS = [(7 + k, "NVDA", Decimal(p), s, "09:32") for k, (p, s) in enumerate(PRICES)]
@@ -26,7 +26,8 @@ def test_bars_survive_a_failure_in_the_middle(spark, tmp_path):
 
     def poison(batch, batch_id):
         if batch_id == 1 and poisoned[0]:
-            sinks.append_bucketed(sinks.with_bucket(batch.where("seq = 10"), ["symbol", "bar"]), batch_id, f"{out}/log")
+            part = incremental.BARS.parts["bars"]
+            incremental.stores(spark, out, incremental.BARS)["bars"].append(part.partial(batch.where("seq = 10")), batch_id)
             raise ValueError("poison")
 
     stream = feeds.read_changes(spark, str(tmp_path / "in"))
@@ -36,10 +37,10 @@ def test_bars_survive_a_failure_in_the_middle(spark, tmp_path):
     report = projections.batch_report(spark, query).collect()
     assert report[-1].failed and not report[0].failed and "poison" in report[-1].reason
     assert report[0].checkpoint_before != report[0].checkpoint_after and report[-1].checkpoint_before == report[-1].checkpoint_after and report[-1].applied == 0
-    assert sinks.read_view(spark, f"{out}/view").first().volume == 7
+    assert incremental.read(spark, out, incremental.BARS).first().volume == 7
     poisoned[0] = False
     projections.tick_bars(stream, out, checkpoint, poison).awaitTermination()
-    row = sinks.read_view(spark, f"{out}/view").first()
+    row = incremental.read(spark, out, incremental.BARS).first()
     assert (row.open, row.high, row.low, row.close, row.volume) == (10, 15, 10, 15, 63)
     naive = spark.createDataFrame([*TICKS, TICKS[3]], SCHEMA)
     assert bars.ohlc(naive, dedupe=False).first().volume == 71
@@ -52,7 +53,7 @@ def test_positions_and_relay_equal_their_batch_forms(spark, tmp_path):
     schema = "book string, version long, symbol string, side string, quantity decimal(18,2), price decimal(18,2)"
     write_files(spark, rows, schema, tmp_path / "in", 5)
     projections.book_positions(feeds.read_changes(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    live = sinks.read_view(spark, str(tmp_path / "out/view"))
+    live = incremental.read(spark, str(tmp_path / "out"), incremental.POSITIONS)
     assert live.exceptAll(positions.project(spark.createDataFrame(rows, schema))).isEmpty() and live.count() == 3
 
     changes = [(k, "INSERT" if k % 3 else "MODIFY", {"order_id": f"o{k}", "customer": "c", "total": "1.5" if k % 4 else "x"}) for k in range(20)]
@@ -81,7 +82,7 @@ def test_tenant_view_equals_rebuild(spark, tmp_path):
     for k in (1, 0):
         records.where(F.pmod(F.hash("body"), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     projections.tenant_view(feeds.read_changes(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    live = sinks.read_view(spark, str(tmp_path / "out/view"))
+    live = incremental.read(spark, str(tmp_path / "out"), incremental.TENANTS)
     assert views.diff(live, views.rebuild(logs)).isEmpty() and views.diff(live, views.rebuild(logs, reverse=True)).isEmpty()
     stub = live.where("tenant_id = 7").first()
     assert (stub.company, stub.tenant_version, stub.user_count) == ("", 0, 1)
@@ -186,3 +187,10 @@ def test_watchlist_stream_equals_batch(spark, tmp_path):
     got = sorted((r.session_id, r.seq, r.kind) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     want = sorted((r.session_id, r.seq, r.kind) for r in quotes.watchlist(t, w, width=8).collect())
     assert got == want and want
+
+
+def test_folds_without_partial_states_read_their_log_again(spark, tmp_path):
+    write_files(spark, [*TICKS, *TICKS[:2]], SCHEMA, tmp_path / "in", 3)
+    out = str(tmp_path / "out")
+    projections.project(feeds.read_changes(spark, str(tmp_path / "in")), ["symbol", "bar"], bars.ohlc, out, str(tmp_path / "cp")).awaitTermination()
+    assert sinks.read_view(spark, f"{out}/view").collect() == bars.ohlc(spark.createDataFrame(TICKS, SCHEMA)).collect()
