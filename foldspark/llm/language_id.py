@@ -214,10 +214,11 @@ class Model:
 def learn(docs: DataFrame) -> Model:
     """Fit on the rows of (text, lang) whose lang isn't null and whose crc32(doc_id as text) mod 4 is not 2."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
-    langs = sorted(sizes)
-    rates = {k: min(1.0, SAMPLE_PER_LANGUAGE / n) for k, n in sizes.items()}
     rank = F.pmod(F.xxhash64("text"), F.lit(RANKS))
+    # the sample counts equal texts once, so its rate follows from the number of different ones
+    texts = dict(known.groupBy("lang").agg(F.approx_count_distinct(rank)).collect())
+    langs = sorted(texts)
+    rates = {k: min(1.0, SAMPLE_PER_LANGUAGE / max(1, n)) for k, n in texts.items()}
     gathered = materialise(map_arrow(known.select("text", "lang", rank.alias("rank")), partial(_statistics, rates=rates), _LEARN), "language-statistics")
     df = np.zeros(1 << BITS)
     for r in gathered.where("kind = 'df'").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_batches():  # a row a bucket at most

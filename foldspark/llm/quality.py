@@ -191,7 +191,7 @@ def _score(batches: Iterator[pa.RecordBatch], model: WeakLabels, w: np.ndarray,
             total = np.diff(np.r_[0.0, np.cumsum(w[tri])][at]) * SCALE / np.maximum(1, np.diff(at)) + w[binned].sum(1) + w[0]
             words.append(m[:, -1])
             good.append(model.posterior(votes(m)))
-            score.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+            score.append(1 / (1 + np.exp(-np.clip(total, -30, 30))) if w.any() else good[-1])
         good, score = (np.concatenate(x) if x else np.zeros(0) for x in (good, score))
         score = np.where(np.concatenate(words) > 0, score, 0.0) if words else score
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(good), pa.array(score), pa.array(score >= threshold)], names=["doc_id", "weak_label", "score", "keep"])
@@ -202,11 +202,11 @@ def quality(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     weak_label is the posterior of the votes alone and score the trained scorer's probability that the text is good; keep
     says that it is `threshold` or more. A null text or one without words has score 0. Equal texts get equal scores, and
-    a score that ties with the threshold is kept. Texts are measured whole, however long. An empty table gives no rows. Only doc_id and text are read.
+    with a scorer that learned nothing the weak labels are the scores. A score that ties with the threshold is kept. Texts are measured whole, however long. An empty table gives no rows. Only doc_id and text are read.
     """
-    n = docs.count()
     rank = F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(RANKS))
-    gather = partial(_gather, rate=min(1.0, SAMPLE_DOCS / max(1, n)))
+    texts = docs.agg(F.approx_count_distinct(rank)).first()[0]  # equal ones count once, as in the sample
+    gather = partial(_gather, rate=min(1.0, SAMPLE_DOCS / max(1, texts)))
     gathered = materialise(map_arrow(docs.select(rank.alias("rank"), "text"), gather, "kind string, pattern long, n long, rank long, buckets binary, values binary"), "weak-labels")
     table = gathered.where("kind = 'votes'").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toArrow()
     model = WeakLabels(unpattern(np.asarray(table.column(0))), np.asarray(table.column(1)).astype(float))

@@ -300,3 +300,48 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     whole = corpus_pipeline.run(spark, path)
     assert sorted(((r.doc_id, r.n_tokens) for r in whole.collect()), key=repr) == sorted(((r.doc_id, r.n_tokens) for r in tokens), key=repr)
     assert exact_dedup.drop_copies(docs).count() == docs.count() and byte_bpe.encode_checked(docs).count() == docs.count()
+
+
+@pytest.mark.parametrize("copies", [0, 200_000])
+def test_repeated_texts_leave_the_classifiers_their_samples(spark, copies, monkeypatch):
+    """Copies of one text count once in a sample, so they take no place of other texts."""
+    rng = random.Random(5)
+    words = {"aa": "the of and house ring stone thing".split(), "bb": "der und haus schön straße nicht über".split()}
+    rows = [(k, " ".join(rng.choices(words[lang], k=rng.randint(5, 30))) + f" {rng.randint(0, 10**9)}.", lang) for k, lang in enumerate(["aa", "bb"] * 250)]
+    rows += [(1000 + k, "$$$ %%% ### " * rng.randint(3, 30) + str(rng.randint(0, 10**9)), None) for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    many = spark.range(5000, 5000 + copies).select(F.col("id").alias("doc_id"), F.lit(rows[0][1]).alias("text"), F.lit("aa").alias("lang"))
+    docs = docs.union(many).repartition(4)
+    got = {r.doc_id: r.lang_pred for r in language_id.language_id(docs).where("doc_id < 1000").collect()}
+    for lang in words:
+        own = [got[k] == lang for k, _, of in rows if of == lang]
+        assert sum(own) > 0.95 * len(own)
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 300)
+    score = {r.doc_id: r.score for r in quality.quality(docs).where("doc_id < 5000").collect()}
+    good, junk = ([score[r[0]] for r in rows if (r[2] is None) == bad] for bad in (False, True))
+    assert sum(a > b for a in good for b in junk) > 0.95 * len(good) * len(junk)
+
+
+def test_quality_ranks_labelled_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality(docs).join(labels, "doc_id").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert sum((a > b) + 0.5 * (a == b) for a in good for b in bad) > 0.9 * len(good) * len(bad)
+
+
+def test_quality_of_nothing_learned(spark):
+    nothing = quality.quality(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).collect()
+    assert {r.score for r in nothing} == {0.0}
+
+
+def test_blocks_shrink_with_the_claim():
+    claims = np.array([0.0, 3.0, 1000.0, 40_000.0, 1e9])
+    assert mixing.block_words(claims, 64).tolist() == [1, 1, 1, 64, 64]
+    assert all(b == 1 or c / b >= mixing.FINE_BLOCKS for c, b in zip(claims, mixing.block_words(claims, 48)))
+
+
+def test_calls_that_share_an_identifier_and_a_turn(spark):
+    call = '{"tool_calls":[{"id":"%s","name":"search","arguments":{},"after":%s}]}'
+    rows = [(1, 1, "assistant", call % ("x", "[]")), (1, 2, "assistant", call % ("y", '["x"]')), (1, 2, "assistant", call % ("y", "[]")), (1, 3, "assistant", call % ("z", '["y"]'))]
+    first, last = (chat_format.format_chats(spark.createDataFrame(o, "conv_id long, turn long, role string, text string").coalesce(1)) for o in (rows, rows[::-1]))
+    assert sorted(map(repr, first.collect())) == sorted(map(repr, last.collect()))
