@@ -2,11 +2,11 @@
 
 Each source has a weight; the targets share the size of the whole corpus and no target exceeds MAX_EPOCHS times its
 source. Documents are dealt by hash into shards of about SHARD_DOCS. A source is dealt over as many of them as give it
-SHARD_BLOCKS blocks in each, one at least, so rounding to blocks is a small part of any quota. A shard's blocks of
-BLOCK_WORDS go to its sources by highest quotients of what the targets ask of the shard, which gives integer quotas; a
-source that lives in one shard alone has a partial last block, which ends where its target does. A source's documents in a
-shard are laid end to end in a seeded order, and the quota is a cyclic run of blocks from a seeded one: all but the two
-documents at the run's ends are taken whole. In the mixed corpus, where all are whole, a document is there as often as the
+SHARD_BLOCKS blocks in each, one at least. A source that asks a shard for much gets blocks of BLOCK_WORDS words there, and one
+that asks for little gets smaller ones, by halves down to a word, so rounding to blocks is a small part of any quota; among
+the sources with equal blocks a shard's blocks go to the highest quotients of what the targets ask of it, which gives
+integer quotas. A source's documents in a shard are laid end to end in a seeded order, and the quota is a cyclic run of
+blocks from a seeded one: all but the two documents at the run's ends are taken whole. In the mixed corpus, where all are whole, a document is there as often as the
 run passes its middle word, whose chance is the run's share of the source for documents of any length. Only one row a
 source comes to the driver.
 
@@ -31,6 +31,8 @@ MAX_EPOCHS = 3
 BLOCK_WORDS = 64
 SHARD_DOCS = 512
 SHARD_BLOCKS = 64
+#: What a source asks of a shard is this many of its blocks at least, as long as blocks can be halved.
+FINE_BLOCKS = 512
 BUNDLE_ROWS = 64
 #: Copies of one row that a task writes out.
 COPIES_AT_ONCE = 1024
@@ -98,6 +100,14 @@ def sainte_lague(claims: np.ndarray, seats: int) -> np.ndarray:
     return out
 
 
+def block_words(claims: np.ndarray, most: int) -> np.ndarray:
+    """The words in each claim's blocks: `most`, halved until the claim has FINE_BLOCKS of them or a block is a word."""
+    out = np.full(len(claims), most, np.int64)
+    while (large := (out > 1) & (claims < out * FINE_BLOCKS)).any():
+        out[large] //= 2
+    return out
+
+
 def take_run(sizes: np.ndarray, quota: int, start: int) -> np.ndarray:
     """Words taken of each document when `quota` words run cyclically from word `start` of the documents laid end to end."""
     total = int(sizes.sum())
@@ -123,22 +133,25 @@ def _mix_shard(table: pa.Table, block: int, most: int, seed: int) -> pa.Table:
     """Taken words and whole copies of one shard's rows; a row of the table stands for `rows` of them."""
     rows = np.asarray(table.column("rows").combine_chunks())
     table = table.take(pa.array(np.repeat(np.arange(len(rows)), rows)))
-    doc_id, source, key, words, ratio, spread, shard = (table.column(k).combine_chunks() for k in ("doc_id", "source", "key", "size", "ratio", "spread", "shard"))
+    doc_id, source, key, words, ratio, shard = (table.column(k).combine_chunks() for k in ("doc_id", "source", "key", "size", "ratio", "shard"))
     names = sorted({s for s in source.to_pylist() if s is not None}) + ([None] if source.null_count else [])
     number = {s: k for k, s in enumerate(names)}
     code = np.array([number[s] for s in source.to_pylist()], np.int64)
-    words, ratio, spread, shard = np.asarray(words), np.asarray(ratio), np.asarray(spread), int(shard[0].as_py())
+    words, ratio, shard = np.asarray(words), np.asarray(ratio), int(shard[0].as_py())
     ids = np.asarray(doc_id.fill_null(-1))
     claims = np.bincount(code, weights=words * ratio, minlength=len(names))
-    quotas = sainte_lague(claims, round(claims.sum() / block)) * block
+    blocks, quotas = block_words(claims, block), np.zeros(len(names), np.int64)
+    for size in np.unique(blocks).tolist():  # equal blocks compete with each other
+        alike = blocks == size
+        quotas[alike] = sainte_lague(claims[alike], round(claims[alike].sum() / size)) * size
     taken, copies = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
     for k in range(len(names)):
         at = np.flatnonzero(code == k)
         at = at[np.lexsort((words[at], ids[at], np.asarray(key)[at]))]
         size, total = words[at], int(words[at].sum())
-        quota = round(float(claims[k])) if spread[at[0]] == 1 else int(quotas[k])
+        quota, step = int(quotas[k]), int(blocks[k])
         r = int(mix64(np.array([seed * 1_000_003 + shard * 8191 + k], U64))[0])
-        run = min(quota, most * total), r % -(-total // block) * block
+        run = min(quota, most * total), r % -(-total // step) * step
         taken[at] = take_run(size, *run)
         copies[at] = passes(np.cumsum(size) - size + size // 2, total, *run)
     return pa.table([doc_id, key, pa.array(words), table.column("source_size"), table.column("target"), pa.array(taken), pa.array(copies)], names=["doc_id", "key", "size", "source_size", "target", "taken", "copies"])
