@@ -109,7 +109,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bo
     repeated identifiers, calls without result, results without call and cycles.
 
     A null text or role is JSON null. Text that isn't such an object is content. Of several calls with one identifier the
-    first by turn is linked and the others are errors; several results of one call all link. Repeated rows are messages
+    first by turn, and in one turn the one whose list of predecessors sorts first, is linked and the others are errors; several results of one call all link. Repeated rows are messages
     each. A text of any length is one message. An empty table gives no rows. Only conv_id, turn, role and text are read.
     """
     base = messages.select("conv_id", "turn", "role", "text")
@@ -126,7 +126,7 @@ def format_chats(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bo
     calls = calling.select("conv_id", "turn", F.explode("tool_calls").alias("c"))
     calls = calls.select("conv_id", "turn", F.col("c.id").alias("call_id"), F.coalesce("c.after", F.array().cast("array<string>")).alias("after"))
     calls = calls.where("call_id is not null and conv_id is not null")
-    first = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"), F.count("*").alias("same"), F.min_by("after", "turn").alias("after"))
+    first = calls.groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"), F.count("*").alias("same"), F.min_by("after", F.struct("turn", "after")).alias("after"))
     first = materialise(first, "calls")
     results = special.where("result_of is not null").groupBy("conv_id", F.col("result_of").alias("call_id")).agg(F.count("*").alias("results"))
     facts = first.join(_levels(first), ["conv_id", "call_id"], "left").join(results, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "call_turn", "same", "level", F.coalesce("results", F.lit(0)).alias("results"))
