@@ -29,12 +29,25 @@ def publish_records(rows: DataFrame, options: dict[str, str], key: str) -> None:
     encode_records(rows, key).write.format("kafka").options(**options).save()
 
 
-def read_appended(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame | None:
-    """All complete micro-batches under a path, or those up to a number; None if there are none."""
+def read_appended(spark: SparkSession, path: str, upto: int | None = None, last: int | None | bool = False) -> DataFrame | None:
+    """All complete micro-batches under a path, or those up to a number; None if there are none.
+
+    With `last` only the newest one: of those up to that number, or of all if it is None.
+    """
+    upto = upto if last is False else last
     found = [b for b in _folders(spark, path, "batch_id=") if upto is None or b <= upto]
+    found = found if last is False else found[-1:]
     return spark.read.option("basePath", path).parquet(*(f"{path}/batch_id={b}" for b in found)) if found else None
 
 
+def drop_appended(spark: SparkSession, path: str, below: int) -> None:
+    """Delete the micro-batches below a number."""
+    for b in _folders(spark, path, "batch_id="):
+        if b < below:
+            done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={b}")
+            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
+
+
 #: Buckets of a projection's log and view. A micro-batch reads and writes those of its keys only.
 BUCKETS = 64
 
@@ -97,7 +110,7 @@ def upsert_view(rows: DataFrame, batch_id: int, path: str, keys: list[str], buck
         whole = fresh
         if before:
             old = _read_versions(spark, path, {k: v[-1] for k, v in before.items()})
-            whole = with_bucket(by_keys(old, rows, keys, "left_anti"), keys, buckets).unionByName(fresh)
+            whole = with_bucket(by_keys(old, fresh, keys, "left_anti"), keys, buckets).unionByName(fresh)
         if touched:
             _write_parts(whole.withColumn("version", F.lit(batch_id).cast("long")), path, ["bucket", "version"])
     finally:
