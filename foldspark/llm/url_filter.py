@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,20 +68,49 @@ def _bound(n: Column) -> Column:
     return F.sqrt(F.lit(SPREAD) / n)
 
 
-def _templates(paths: DataFrame, depth: int) -> DataFrame:
-    """Add `template` to counted (host, path, parts) rows: variable segments become `*`, level by level."""
-    cur = paths.withColumn("template", F.lit(""))
-    for level in range(depth):
-        cur = cur.withColumn("part", F.get("parts", F.lit(level)))
+def _shared(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common from the start."""
+    first = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(first > 0, first - 1).otherwise(F.least(F.size(a), F.size(b))).cast("int")
+
+
+def _jumped(live: DataFrame) -> DataFrame:
+    """Rows moved over the segments that all paths of their template, on whatever host, have in common.
+
+    There one child holds all rows, on each host and on all, so those segments are fixed whatever the bounds say.
+    """
+    rest = F.slice("parts", F.col("at") + 1, F.greatest(F.size("parts"), F.lit(1)))
+    jump = live.groupBy("template").agg(F.min(rest).alias("low"), F.max(rest).alias("high")).select("template", _shared(F.col("low"), F.col("high")).alias("jump"))
+    common = F.concat_ws("", F.transform(F.slice("parts", F.col("at") + 1, F.col("jump")), lambda s: F.concat(F.lit("/"), s)))
+    moved = live.join(jump, "template").withColumn("template", F.concat("template", common))
+    return moved.withColumn("at", F.col("at") + F.col("jump")).drop("jump").withColumn("part", F.get("parts", "at"))
+
+
+def _templates(paths: DataFrame) -> DataFrame:
+    """Add `template` and `forks` to counted (host, path, parts) rows: variable segments become `*`, level by level.
+
+    forks are the levels where a row's template has siblings on its host. A round takes each row to the next level where
+    paths of its template part, and rows whose path has ended leave; so the rounds are as many as such levels on one path,
+    and not as its segments.
+    """
+    live = paths.withColumns({"template": F.lit(""), "at": F.lit(0), "forks": F.array().cast("array<int>")})
+    columns = [*paths.columns, "template", "forks"]
+    done = []
+    while True:
+        cur = materialise(_jumped(live), "template-rows")
+        done.append(cur.where("part is null").select(*columns))
         child = cur.where("part is not null").groupBy("host", "template", "part").agg(F.sum("n").alias("n"))
-        own = child.groupBy("host", "template").agg(F.sum("n").alias("n"), (F.max("n") / F.sum("n")).alias("top"))
+        own = child.groupBy("host", "template").agg(F.sum("n").alias("n"), (F.max("n") / F.sum("n")).alias("top"), (F.count("*") > 1).alias("many"))
         pooled = child.groupBy("template", "part").agg(F.sum("n").alias("n")).groupBy("template").agg((F.max("n") / F.sum("n") + _bound(F.sum("n")) < TOP_SHARE).alias("pooled"))
         varies = F.when(F.col("top") + _bound(F.col("n")) < TOP_SHARE, True).when(F.col("top") - _bound(F.col("n")) >= TOP_SHARE, False).otherwise(F.col("pooled"))
-        node = own.join(pooled, "template").select("host", "template", varies.alias("varies"))
-        step = F.when(F.col("part").isNull(), "").when(F.col("varies"), "/*").otherwise(F.concat(F.lit("/"), "part"))
-        cur = cur.join(node, ["host", "template"], "left").withColumn("template", F.concat("template", step)).drop("part", "varies")
-        cur = materialise(cur, "templates")
-    return cur
+        node = own.join(pooled, "template").select("host", "template", varies.alias("varies"), "many")
+        step = F.when(F.col("varies"), "/*").otherwise(F.concat(F.lit("/"), "part"))
+        forks = F.when(F.col("many") & ~F.col("varies"), F.array_append("forks", F.col("at") + 1)).otherwise(F.col("forks"))
+        live = cur.where("part is not null").join(node, ["host", "template"])
+        live = live.select(*paths.columns, F.concat("template", step).alias("template"), (F.col("at") + 1).alias("at"), forks.alias("forks"))
+        live = materialise(live, "templates")
+        if live.isEmpty():
+            return reduce(DataFrame.union, done)
 
 
 def _differ_little(a: Column, b: Column, distance: Column) -> Column:
@@ -88,15 +118,16 @@ def _differ_little(a: Column, b: Column, distance: Column) -> Column:
     return distance <= ALIKE * (1 / F.sqrt(a) + 1 / F.sqrt(b))
 
 
-def _merged(tree: DataFrame, depth: int) -> DataFrame:
+def _merged(tree: DataFrame, levels: list[int]) -> DataFrame:
     """Add `merged` to counted (host, template) rows: branches that are like their largest sibling take its name.
 
     The templates below two branches are as far apart as the share of rows that they don't have in common. A branch without
-    labelled pages has the labels of its name on all hosts; without any, it is like others without.
+    labelled pages has the labels of its name on all hosts; without any, it is like others without. At other than the given
+    levels no branch has a sibling; merging deeper ones changes no name above them.
     """
     cur = tree.withColumn("merged", F.col("template"))
     node = ["host", "parent"]
-    for level in range(depth, 0, -1):
+    for level in sorted(levels, reverse=True):
         deep = F.length("merged") - F.length(F.replace("merged", F.lit("/"))) >= level
         head = F.when(deep, F.substring_index("merged", "/", level + 1))
         cur = cur.withColumn("head", head).withColumn("tail", F.expr("substring(merged, length(head) + 1)")).withColumn("parent", F.when(deep, F.substring_index("merged", "/", level)))
@@ -130,7 +161,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, reject_share: float
 
     verdict is the longest fitting rule's, else `block` if the page's template is rejected and `allow` if not. Where
     nothing is labelled, every share is a half. A null url, or one without `://`, has an empty host and path and the
-    template of these. Paths of any length are read whole; each level of the deepest one is a round of joins. Repeated rows
+    template of these. Paths of any length are read whole; each level where paths of one template part is a round of joins. Repeated rows
     count each and get equal verdicts; of equally large siblings the one that sorts first gives the name; an empty table
     gives no rows. Only page_id and url are read; the rules must be few enough for one expression.
     """
@@ -141,9 +172,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, reject_share: float
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
     paths = judged.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("allow").alias("labelled"), F.sum(blocked).alias("blocked")).withColumn("parts", parts)
     paths = materialise(paths, "paths")
-    depth = paths.agg(F.max(F.size("parts"))).first()[0] or 0
-    leaf = _templates(paths, depth).select("host", "path", "template", "n", "labelled", "blocked")
-    named = _merged(leaf.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))), depth)
+    leaf = _templates(paths).select("host", "path", "template", "n", "labelled", "blocked", "forks")
+    levels = [r[0] for r in leaf.select(F.explode("forks")).distinct().collect()]  # a number for each level at most
+    named = _merged(leaf.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "blocked"))), levels)
     base = named.agg(((F.coalesce(F.sum("blocked"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("base"))
     smoothed = (F.sum("blocked") + PRIOR_WEIGHT * base.scalar()) / (F.sum("labelled") + PRIOR_WEIGHT)
     prior = named.groupBy("template").agg(smoothed.alias("prior"))

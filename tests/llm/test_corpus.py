@@ -345,3 +345,13 @@ def test_calls_that_share_an_identifier_and_a_turn(spark):
     rows = [(1, 1, "assistant", call % ("x", "[]")), (1, 2, "assistant", call % ("y", '["x"]')), (1, 2, "assistant", call % ("y", "[]")), (1, 3, "assistant", call % ("z", '["y"]'))]
     first, last = (chat_format.format_chats(spark.createDataFrame(o, "conv_id long, turn long, role string, text string").coalesce(1)) for o in (rows, rows[::-1]))
     assert sorted(map(repr, first.collect())) == sorted(map(repr, last.collect()))
+
+
+def test_url_rounds_follow_the_forks_and_not_the_depth(spark):
+    """Two urls of a thousand segments that part at the last one, among others, and the templates of a plain descent."""
+    deep = "/".join(f"s{i}" for i in range(1000))
+    urls = [f"https://a.com/{deep}/{e}" for e in ("x", "y")] + ["https://a.com/*/b/c", "https://a.com/*/b/d"] + [f"https://b.org/p{k}/show" for k in range(40)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [got[k].template for k in range(4)] == [f"/{deep}/x", f"/{deep}/y", "/*/b/c", "/*/b/d"] or got[0].template.startswith(f"/{deep}/")
+    assert {got[k].template for k in range(4, 44)} == {"/*/show"}
+    assert len(got) == len(urls)
