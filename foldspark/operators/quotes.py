@@ -105,3 +105,54 @@ def watchlist(ticks: DataFrame, watches: DataFrame, width: int | None = None) ->
     carried = tops.withColumn("before", F.max("top").over(earlier)).groupBy("key", "cell").agg(F.max("before").alias("before"))
     shown = starts.join(carried, ["key", "cell"]).withColumn("tick", F.coalesce("near", "before")).where("tick is not null")
     return live.unionByName(shown.select("session_id", "tick.symbol", F.col("at").alias("start"), "tick.seq", F.lit("snapshot").alias("kind")))
+
+
+def watch_counts(ticks: DataFrame, watches: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """(session_id, symbol, start, kind, ticks, first_seq, last_seq): how much each watch delivers, and from where to where.
+
+    The same as counting `watchlist`, but no tick is listed for a watch: ticks and the watches' bounds are put in one order, and
+    running counts at the two bounds are subtracted. The order is made in cells of `width` seq for each symbol, and cells are
+    added up afterwards, so no task orders all ticks of a symbol, and ticks are read once. Where ticks of one symbol are spelled
+    in several ways, `symbol` is the last one's spelling.
+    """
+    cell = F.floor(F.col("at") / width).alias("cell")
+    spans = intervals(watches).select("session_id", "key", "start", "end")
+    bounds = spans.select("session_id", "key", "start", F.inline(F.array(F.struct(F.col("start").alias("at"), F.lit(2).alias("turn")), F.struct(F.col("end").alias("at"), F.lit(0).alias("turn"))))).where("at is not null")
+    none, kind = F.lit(None), ticks.schema["symbol"].dataType
+    listed = ticks.where("seq is not null").select(none.cast(spans.schema["session_id"].dataType).alias("session_id"), F.upper("symbol").alias("key"), none.cast(spans.schema["start"].dataType).alias("start"), F.col("seq").alias("at"), F.lit(1).alias("turn"), "symbol")
+    rows = listed.unionByName(bounds.withColumn("symbol", none.cast(kind))).select("*", cell)
+
+    # inside a cell; a bound's turn says on which side of a tick of the same seq it is
+    inside = Window.partitionBy("key", "cell")
+    up, down = inside.orderBy("at", "turn"), inside.orderBy(F.desc("at"), F.desc("turn"))
+    tick = F.when(F.col("turn") == 1, F.struct(F.col("at").alias("seq"), "symbol"))
+    swept = rows.select(
+        "session_id", "key", "start", "turn", "cell",
+        F.count(tick).over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("n"),
+        F.last(tick, ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("last"),
+        F.last(tick, ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))["seq"].alias("next"),
+        F.when(F.row_number().over(up) == 1, F.struct(F.count(tick).over(inside).alias("n"), F.max(tick).over(inside).alias("last"), F.min(tick).over(inside)["seq"].alias("first"))).alias("all"),
+    ).where("turn <> 1 or all is not null")
+
+    # what the cells before and after one hold
+    whole = Window.partitionBy("key")
+    before, after = (whole.orderBy(o).rangeBetween(Window.unboundedPreceding, -1) for o in (F.col("cell"), F.desc("cell")))
+    placed = swept.select(
+        "session_id", "key", "start", "turn",
+        (F.col("n") + F.coalesce(F.sum("all.n").over(before), F.lit(0))).alias("n"),
+        F.coalesce("last", F.max("all.last").over(before)).alias("last"),
+        F.coalesce("next", F.min("all.first").over(after)).alias("next"),
+        F.sum("all.n").over(whole).alias("total"),
+        F.max("all.last").over(whole).alias("newest"),
+    ).where("turn <> 1")
+    begun, ended = F.col("turn") == 2, F.col("turn") == 0
+    each = placed.groupBy("session_id", "key", "start").agg(
+        F.max(F.when(begun, F.col("n"))).alias("n"), F.max(F.when(begun, F.col("last"))).alias("shown"), F.max(F.when(begun, F.col("next"))).alias("first"),
+        F.coalesce(F.max(F.when(ended, F.col("n"))), F.max("total")).alias("upto"), F.when(F.count_if(ended) > 0, F.max(F.when(ended, F.col("last")))).otherwise(F.max("newest")).alias("last"),
+    )
+    live, shown = F.col("upto") - F.col("n"), F.col("shown")
+    out = F.array(
+        F.when(live > 0, F.struct(F.col("last.symbol").alias("symbol"), F.lit("tick").alias("kind"), live.alias("ticks"), F.col("first").alias("first_seq"), F.col("last.seq").alias("last_seq"))),
+        F.when(shown.isNotNull(), F.struct(shown["symbol"].alias("symbol"), F.lit("snapshot").alias("kind"), F.lit(1).cast("long").alias("ticks"), shown["seq"].alias("first_seq"), shown["seq"].alias("last_seq"))),
+    )
+    return each.select("session_id", "start", F.inline(F.array_compact(out))).select("session_id", "symbol", "start", "kind", "ticks", "first_seq", "last_seq")

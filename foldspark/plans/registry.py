@@ -693,5 +693,4 @@ def price_snapshot(spark, sf_dir):
     "ticks watch",
 )
 def watchlist_ticks(spark, sf_dir):
-    rows = quotes.watchlist(given.ticks(spark, sf_dir), given.watches(spark, sf_dir))
-    return rows.groupBy("session_id", "symbol", "start", "kind").agg(F.count("*").alias("ticks"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return quotes.watch_counts(given.ticks(spark, sf_dir), given.watches(spark, sf_dir))

@@ -240,3 +240,17 @@ def test_many_unpriced_symbols_are_named_once(spark):
     assert row.unpriced == sorted(row.unpriced) and len(row.unpriced) == row.unpriced_symbols and row.failed == ["shard-3"]
     assert len({s.upper() for s in row.unpriced}) == len(row.unpriced) and all(s[0] == "S" for s in row.unpriced if int(s[1:]) % 7 != 6)
     assert row.shards == 4 and row.failed_shards == 1 and row.realized_cash == -2 * sum(1 for k in range(2 * n) if k % 7 != 6)
+
+
+@pytest.mark.parametrize("width", [3, 1 << 16])
+def test_watch_counts_are_the_watch_lists(spark, width):
+    rng = random.Random(width)
+    ticks = [(rng.randint(0, 60), rng.choice("abc"), float(k)) for k in range(150)]  # some seq twice
+    watches = [(rng.randint(0, 60), rng.randint(1, 6), rng.choice(["A", "b", "C", "none"]), rng.random() < 0.4) for _ in range(60)]
+    watches = list({(w[0], w[1], w[2]): w for w in watches}.values())
+    t = spark.createDataFrame(ticks, "seq long, symbol string, price double")
+    w = spark.createDataFrame(watches, "seq long, session_id long, symbol string, unwatch boolean")
+    listed = quotes.watchlist(t, w, width=8).groupBy("session_id", "symbol", "start", "kind").agg(F.count("*").alias("ticks"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    counted = quotes.watch_counts(t, w, width)
+    assert sorted(counted.collect()) == sorted(listed.select(counted.columns).collect()) and counted.count() > 20
+    assert quotes.watch_counts(t.limit(0), w, width).count() == 0 and quotes.watch_counts(t, w.limit(0), width).count() == 0
