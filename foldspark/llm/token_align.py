@@ -40,11 +40,10 @@ UNITS_AT_ONCE = 4096
 #: Characters that are neither white space nor changed together with a neighbour by any Unicode normal form.
 PLAIN = "[!-~À-ɏЀ-҂Ҋ-ӿ]"
 
-def common_ends(sizes_a: Iterable[int], sizes_b: Iterable[int]) -> Iterator[tuple[int, int]]:
+def common_ends(sizes_a: Iterable[int], sizes_b: Iterable[int]) -> list[tuple[int, int]]:
     """For each byte offset where a token of A and one of B end: how many tokens of A and of B end up to there."""
     ends_a, ends_b = dict(zip(accumulate(sizes_a), count(1))), dict(zip(accumulate(sizes_b), count(1)))
-    for end in sorted(ends_a.keys() & ends_b.keys()):
-        yield ends_a[end], ends_b[end]
+    return [(ends_a[end], ends_b[end]) for end in sorted(ends_a.keys() & ends_b.keys())]
 
 
 def links(sizes_a: list[int], sizes_b: list[int]) -> list[tuple[int, int]]:
@@ -108,6 +107,7 @@ class Aligner:
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_bytes, self.b_bytes = _Tokens(self.bytes_a), _Tokens(self.bytes_b)
         self.size_a, self.size_b = self.a_bytes.sizes.tolist(), self.b_bytes.sizes.tolist()
+        self.text_a, self.text_b = [str(i) for i in range(len(self.bytes_a))], [f"|{i}" for i in range(len(self.bytes_b))]
         self.bare = not all(self.size_a) or not all(self.size_b)  # is there a token without bytes?
         cut = spec["pre_tokenizer"] or {}
         by_space = cut.get("type") == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and spec["normalizer"] is None and spec["post_processor"] is None
@@ -124,17 +124,20 @@ class Aligner:
 
     def align(self, ids_a: list[int], ids_b: list[int]) -> tuple[int, int, int, str, bytes]:
         """(tokens of A, of B, groups, the groups as text, links as 64-bit pairs)."""
-        sizes_a, sizes_b = [self.size_a[x] for x in ids_a], [self.size_b[x] for x in ids_b]
-        text, pairs = [], array("q")
+        sizes_a, sizes_b, text_a, text_b = self.size_a, self.size_b, self.text_a, self.text_b
+        text, pairs = [], []
         i = j = 0
-        for k, m in common_ends(sizes_a, sizes_b):
-            text.append(f"{ids_a[i]}|{ids_b[j]}" if k == i + 1 and m == j + 1 else f"{','.join(map(str, ids_a[i:k]))}|{','.join(map(str, ids_b[j:m]))}")
+        for k, m in common_ends(map(sizes_a.__getitem__, ids_a), map(sizes_b.__getitem__, ids_b)):
+            if k == i + 1 and m == j + 1:
+                text.append(text_a[ids_a[i]] + text_b[ids_b[j]])
+            else:
+                text.append(f"{','.join([text_a[x] for x in ids_a[i:k]])}|{','.join([text_b[x][1:] for x in ids_b[j:m]])}")
             if self.bare:
-                pairs.extend(ids_a[i + x] << 32 | ids_b[j + y] for x, y in links(sizes_a[i:k], sizes_b[j:m]))
+                pairs += [ids_a[i + x] << 32 | ids_b[j + y] for x, y in links([sizes_a[x] for x in ids_a[i:k]], [sizes_b[x] for x in ids_b[j:m]])]
             else:
                 pairs.append(ids_a[k - 1] << 32 | ids_b[m - 1])
             i, j = k, m
-        return len(ids_a), len(ids_b), len(text), ";".join(text), pairs.tobytes()
+        return len(ids_a), len(ids_b), len(text), ";".join(text), array("q", pairs).tobytes()
 
     def faithful(self, ids_a: list[list[int]], ids_b: list[list[int]], raw: list[bytes]) -> np.ndarray:
         """Whether the bytes of each unit's tokens are its own, by both vocabularies."""
