@@ -129,9 +129,9 @@ def test_reactions_are_independent(spark, tmp_path):
     stream = feeds.read_changes(spark, str(tmp_path / "in"))
     for query in fanout.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).values():
         query.awaitTermination()
-    mail = sinks.read_appended(spark, str(tmp_path / "out/welcome-email"))
+    mail = sinks.read_appended(spark, str(tmp_path / "out/welcome-email/journal"))
     assert sorted((r.correlation_id, r.attempt, r.outcome) for r in mail.collect()) == [("c1", 1, "done"), ("c2", 1, "retry"), ("c2", 2, "dead-letter"), ("c3", 1, "done")]
-    assert sorted(r.correlation_id for r in sinks.read_appended(spark, str(tmp_path / "out/trial-clock")).collect()) == ["c1", "c2"]
+    assert sorted(r.correlation_id for r in sinks.read_appended(spark, str(tmp_path / "out/trial-clock/journal")).collect()) == ["c1", "c2"]
 
 
 def test_grouped_batches_keep_each_keys_order(spark, tmp_path):
