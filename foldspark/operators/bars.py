@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldspark.functions.fingerprints import difference
+
 VALUES = ["open", "high", "low", "close", "volume", "sequences"]
 
 
@@ -29,5 +31,4 @@ def inflation(deliveries: DataFrame) -> DataFrame:
 
 def rebuild_diff(live: DataFrame, log: DataFrame) -> DataFrame:
     """Rows (side, ...) in which live bars and the bars rebuilt from the whole log differ; none if they agree."""
-    again = ohlc(log).select(live.columns)
-    return live.exceptAll(again).withColumn("side", F.lit("live")).unionByName(again.exceptAll(live).withColumn("side", F.lit("rebuilt")))
+    return difference(live, ohlc(log), ("live", "rebuilt"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldspark.functions.expressions import blank, first_failure
+from foldspark.functions.fingerprints import difference
 from foldspark.operators.logs import read_recorded
 
 
@@ -63,7 +64,7 @@ def rebuild(logs: dict[str, DataFrame], reverse: bool = False) -> DataFrame:
 def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one view that the other one lacks, with the side that has them; none if the views are equal."""
     flat_a, flat_b = (x.withColumn("users", F.to_json("users")) for x in (a, b.select(a.columns)))
-    return flat_a.exceptAll(flat_b).withColumn("side", F.lit("left")).unionByName(flat_b.exceptAll(flat_a).withColumn("side", F.lit("right")))
+    return difference(flat_a, flat_b)
 
 
 def lookup(requests: DataFrame, view: DataFrame, keys: list[str]) -> DataFrame:
