@@ -22,14 +22,19 @@ def _reserve(remaining: int | None, row: Sequence) -> tuple[int | None, tuple]:
     return remaining - quantity, ("ok", remaining - quantity)
 
 
+def _allocated(requests: DataFrame, stock: DataFrame) -> DataFrame:
+    """The requests with all their columns, `stock`, and of each whether it got stock (`got`) and what `remaining` is then."""
+    table = stock.select(F.upper(F.col("sku").cast("string")).alias("_key"), F.col("stock"))
+    rows = requests.withColumns({"_key": F.upper(F.col("sku").cast("string")), "_asked": F.col("quantity").cast("bigint")}).join(table, "_key", "left")
+    return ordered_fold(rows, "_key", ["arrival"], _reserve, "got string, remaining bigint", ["_asked", "stock"])
+
+
 def allocate(requests: DataFrame, stock: DataFrame) -> DataFrame:
     """Decide (sku, arrival, quantity) requests in order: status ok, conflict or not-found, and what remains.
 
     A conflict takes nothing, so a smaller request after it may still succeed. SKUs match ignoring case.
     """
-    table = stock.select(F.upper(F.col("sku").cast("string")).alias("_key"), F.col("stock"))
-    rows = requests.withColumn("_key", F.upper(F.col("sku").cast("string"))).join(table, "_key", "left").select("_key", "arrival", F.col("quantity").cast("bigint").alias("quantity"), "stock", "sku")
-    return ordered_fold(rows, "_key", ["arrival"], _reserve, "status string, remaining bigint", ["quantity", "stock"]).select("sku", "arrival", "quantity", "status", "remaining")
+    return _allocated(requests.select("sku", "arrival", "quantity"), stock).select("sku", "arrival", F.col("_asked").alias("quantity"), F.col("got").alias("status"), "remaining")
 
 
 def place(requests: DataFrame, customers: DataFrame, stock: DataFrame) -> DataFrame:
@@ -46,8 +51,7 @@ def place(requests: DataFrame, customers: DataFrame, stock: DataFrame) -> DataFr
     )
     checked = rows.withColumn("status", status)
     charged = checked.where("status = 'ok'")
-    decided = allocate(charged, stock).select("sku", "arrival", F.col("status").alias("got"))
-    done = charged.join(decided, ["sku", "arrival"]).select("sku", "arrival", F.col("got").alias("status"), "amount", F.lit(True).alias("charged"), (F.col("got") != "ok").alias("refunded"))
+    done = _allocated(charged.select("sku", "arrival", "quantity", "amount"), stock).select("sku", "arrival", F.col("got").alias("status"), "amount", F.lit(True).alias("charged"), (F.col("got") != "ok").alias("refunded"))
     refused = checked.where("status <> 'ok'").select("sku", "arrival", "status", "amount", F.lit(False).alias("charged"), F.lit(False).alias("refunded"))
     return done.unionByName(refused)
 
