@@ -13,6 +13,7 @@ more than 0.9999.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -33,6 +34,8 @@ CELL = 1.5
 SIMILARITY = 0.93
 BLOCK_MEMBERS = 512
 PAIRS_AT_ONCE = 1 << 15
+#: Bytes of vectors that a partition of compared groups should get.
+PART_BYTES = 64 << 20
 SEED = 23
 
 
@@ -201,7 +204,9 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, seed: in
     first, second = F.least("block", "partner"), F.greatest("block", "partner")
     dealt = spread.select("rep", "bucket", "block", (first == second).alias("one"), F.xxhash64("bucket", first, second).alias("group"))
     dealt = dealt.join(reps.select("rep", "label", "copies", "raw").join(shared, "rep"), "rep")
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a group is one task's work, so partitions follow the bytes that are dealt and aren't left to adaptive execution
+    sent = spread.agg(F.count("*")).first()[0] * (reps.agg(F.avg(F.length("raw"))).first()[0] or 0.0)
+    parts = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(sent / PART_BYTES))
     found = map_arrow(dealt.repartition(parts, "group").sortWithinPartitions("group", "rep"), partial(_compare, similarity=similarity, kind=kind), "a long, links long, b long")
     found = materialise(found, "vector-links")
 

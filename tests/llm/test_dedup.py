@@ -216,3 +216,23 @@ def test_hash_tables_find_close_vectors():
     side /= np.linalg.norm(side, axis=1)[:, None]
     y = 0.931 * x + np.sqrt(1 - 0.931**2) * side
     assert (embedding_dedup.bucket_hashes(x) == embedding_dedup.bucket_hashes(y)).any(1).mean() > 0.985
+
+
+def test_embedding_dedup_of_a_whole_table_with_planted_links(spark, tmp_path):
+    """The given table and copies of its vectors with noise, so that there are links to find, against brute force."""
+    given = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
+    rng = np.random.default_rng(3)
+    x, label = np.stack(given["embedding"]).astype(float), given["label"].to_numpy()
+    pick = rng.integers(0, len(x), 900)
+    noisy = x[pick] + rng.standard_normal((900, x.shape[1])) * rng.uniform(0.01, 0.06, 900)[:, None]
+    x, label = np.vstack([x, noisy]).astype(np.float32), np.r_[label, label[pick]]
+    rows = [(int(k), v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, label, strict=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(str(tmp_path / "embeddings"))
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    close = (unit @ unit.T >= 0.93) & (label[:, None] == label)
+    np.fill_diagonal(close, False)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.read.parquet(str(tmp_path / "embeddings"))).collect()}
+    found = sum(r.n_links for r in got.values())
+    assert close.sum() > 1000 and all(r.n_links <= close[k].sum() for k, r in got.items()) and found >= 0.99 * close.sum()
+    best = components(range(len(x)), np.argwhere(close).tolist())
+    assert sum(r.component_id == best[k] for k, r in got.items()) >= 0.99 * len(x)
