@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from foldspark.functions.column_fold import Arrays, Decision, column_fold
 from foldspark.functions.expressions import blank
-from foldspark.functions.ordered_fold import ordered_fold
 
 OPENED, DEPOSITED, WITHDRAWN, DEPOSITED_V1 = "account:opened", "money:deposited", "money:withdrawn", "money:deposited:v1"
 #: Payload schema of each event type; types that aren't here are tolerated and have no payload.
@@ -137,33 +138,56 @@ def assign_versions(new: DataFrame, heads: DataFrame, order: list[str]) -> DataF
     return new.withColumn("_n", number).join(heads.select("stream_id", F.col("version").alias("_head")), "stream_id", "left").withColumn("version", (F.coalesce("_head", F.lit(0)) + F.col("_n")).cast("bigint")).drop("_n", "_head")
 
 
-def _decide(state: tuple | None, row: Sequence) -> tuple[tuple, tuple]:
-    kind, pence, expected, invalid, exists, balance, head = row
-    if state is not None:
-        exists, balance, head = state
-    status, error = "ok", None
-    if kind == "open":
-        if invalid:
-            status, error = "validation-error", "blank"
-        elif head:
-            status, error = "conflict", "exists"
-        else:
+_KINDS, _STATUS = ("open", "deposit", "withdraw"), ("ok", "validation-error", "conflict", "not-found")
+_ERRORS = ("blank", "exists", "pence", "account", "insufficient-funds", "version")
+#: The refusals in the order in which they are tried: (status, error), as codes.
+_REFUSED = ((1, 0), (2, 1), (1, 2), (3, 3), (1, 4), (2, 5))
+
+
+def _decide(state: Arrays, row: dict[str, np.ndarray]) -> tuple[Arrays, Arrays]:
+    exists, balance, head = state
+    opens, pence = row["kind"] == 0, row["pence"]
+    stale = row["expected_version?"] & (row["expected_version"] > 0) & (row["expected_version"] != head)
+    moves = ~opens
+    fails = [opens & row["invalid"], opens & (head != 0), moves & ~(row["pence?"] & (pence > 0)), moves & ~exists, (row["kind"] == 2) & (balance < pence), moves & stale]
+    status, error = (np.select(fails, [r[k] for r in _REFUSED], none) for k, none in ((0, 0), (1, -1)))
+    ok = status == 0
+    balance = np.where(ok, np.where(opens, 0, balance + np.where(row["kind"] == 1, pence, -pence)), balance)
+    head = head + ok
+    return (exists | (ok & opens), balance, head), (status, error, balance, head)
+
+
+def _decide_one(state: tuple, row: dict) -> tuple[tuple, tuple]:
+    exists, balance, head = state
+    kind, pence, expected = row["kind"], row["pence"], row["expected_version"]
+    failed = None
+    if kind == 0:
+        failed = 0 if row["invalid"] else 1 if head else None
+        if failed is None:
             exists, balance = True, 0
-    elif pence is None or pence <= 0:
-        status, error = "validation-error", "pence"
+    elif not row["pence?"] or pence <= 0:
+        failed = 2
     elif not exists:
-        status, error = "not-found", "account"
-    elif kind == "withdraw" and balance < pence:
-        status, error = "validation-error", "insufficient-funds"
-    elif expected is not None and expected > 0 and expected != head:
-        status, error = "conflict", "version"
+        failed = 3
+    elif kind == 2 and balance < pence:
+        failed = 4
+    elif row["expected_version?"] and expected > 0 and expected != head:
+        failed = 5
     else:
-        balance += pence if kind == "deposit" else -pence
-    if status == "ok":
+        balance += pence if kind == 1 else -pence
+    if failed is None:
         head += 1
+    status, error = (0, -1) if failed is None else _REFUSED[failed]
     return (exists, balance, head), (status, error, balance, head)
 
 
+#: Commands on an account, whose state at first is what the row says of it.
+COMMANDS = Decision(
+    ["kind", "pence", "expected_version", "invalid", "exists", "balance", "head"], "status string, error string, new_balance bigint, new_version bigint",
+    {"kind": _KINDS, "status": _STATUS, "error": _ERRORS}, lambda row: (row["exists"].astype(bool), row["balance"].astype(np.int64), row["head"].astype(np.int64)), _decide, _decide_one,
+)
+
+
 def adjudicate(commands: DataFrame, events: DataFrame) -> DataFrame:
     """Decide (account_id, arrival, kind, pence, expected_version, holder) commands in order of arrival, account by account.
 
@@ -172,8 +196,7 @@ def adjudicate(commands: DataFrame, events: DataFrame) -> DataFrame:
     """
     now = balances(events).select(F.col("stream_id").alias("account_id"), "exists", "balance", "version")
     rows = commands.join(now, "account_id", "left").select("account_id", "arrival", "kind", "pence", "expected_version", (blank(F.col("account_id").cast("string")) | blank(F.col("holder"))).alias("invalid"), F.coalesce("exists", F.lit(False)).alias("exists"), F.coalesce("balance", F.lit(0).cast("bigint")).alias("balance"), F.coalesce("version", F.lit(0).cast("bigint")).alias("head"))
-    reads = ["kind", "pence", "expected_version", "invalid", "exists", "balance", "head"]
-    return ordered_fold(rows, "account_id", ["arrival"], _decide, "status string, error string, new_balance bigint, new_version bigint", reads).drop("invalid", "exists", "balance", "head")
+    return column_fold(rows, "account_id", ["arrival"], COMMANDS).drop("invalid", "exists", "balance", "head")
 
 
 def accepted_events(results: DataFrame) -> DataFrame:

@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldspark.functions.column_fold import NOTHING, Arrays, Decision, column_fold
 from foldspark.functions.expressions import first_failure, member_of
-from foldspark.functions.ordered_fold import ordered_fold
 
 
-def _reserve(remaining: int | None, row: Sequence) -> tuple[int | None, tuple]:
-    quantity, stock = row
-    if stock is None:
-        return None, ("not-found", None)
-    if remaining is None:
-        remaining = stock
-    if remaining < quantity:
-        return remaining, ("conflict", remaining)
-    return remaining - quantity, ("ok", remaining - quantity)
+_GOT = ("ok", "conflict", "not-found")
+
+
+def _reserve(state: Arrays, row: dict[str, np.ndarray]) -> tuple[Arrays, Arrays]:
+    known, remaining = state
+    ok = known & row["_asked?"] & (remaining >= row["_asked"])
+    remaining = np.where(ok, remaining - row["_asked"], remaining)
+    return (known, remaining), (np.where(ok, 0, np.where(known, 1, 2)), np.where(known, remaining, NOTHING))
+
+
+def _reserve_one(state: tuple, row: dict) -> tuple[tuple, tuple]:
+    known, remaining = state
+    if not known:
+        return state, (2, NOTHING)
+    if not row["_asked?"] or remaining < row["_asked"]:
+        return state, (1, remaining)
+    return (known, remaining - row["_asked"]), (0, remaining - row["_asked"])
+
+
+#: What a request gets of a SKU's stock. A null quantity is a conflict.
+RESERVE = Decision(["_asked", "stock"], "got string, remaining bigint", {"got": _GOT}, lambda row: (row["stock?"], row["stock"].astype(np.int64)), _reserve, _reserve_one)
 
 
 def _allocated(requests: DataFrame, stock: DataFrame) -> DataFrame:
     """The requests with all their columns, `stock`, and of each whether it got stock (`got`) and what `remaining` is then."""
     table = stock.select(F.upper(F.col("sku").cast("string")).alias("_key"), F.col("stock"))
     rows = requests.withColumns({"_key": F.upper(F.col("sku").cast("string")), "_asked": F.col("quantity").cast("bigint")}).join(table, "_key", "left")
-    return ordered_fold(rows, "_key", ["arrival"], _reserve, "got string, remaining bigint", ["_asked", "stock"])
+    return column_fold(rows, "_key", ["arrival"], RESERVE)
 
 
 def allocate(requests: DataFrame, stock: DataFrame) -> DataFrame:
