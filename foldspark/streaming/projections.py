@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import NumericType
 
+from foldspark.functions.ranges import with_row_number
 from foldspark.operators import outbox
 from foldspark.sources.sinks import append_bucketed, append_idempotent, by_keys, read_buckets, upsert_view, with_bucket
 from foldspark.streaming import incremental
@@ -76,12 +78,20 @@ def grouped_batches(stream: DataFrame, key: str, order: str, out: str, checkpoin
     """Whole-batch mode: a micro-batch is grouped by key with each key's order kept, and committed as one.
 
     `step` gets the batch with `place`, the row's number among those of its key, and gives what is written: a window, an
-    ordered fold or an aggregation by key. If it raises, nothing of the batch is committed and all of it comes again.
+    ordered fold or an aggregation by key. If it raises, nothing of the batch is committed and all of it comes again. With a
+    numeric `order` rows are numbered range by range, so a key with most of the batch's rows is no single task's work.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        placed = batch.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-        append_idempotent(placed if step is None else step(placed), batch_id, out)
+        if isinstance(batch.schema[order].dataType, NumericType):
+            rows = batch.persist()  # it is counted and cut into ranges before it is numbered
+            placed = with_row_number(rows, "place", [order], by=key)
+        else:
+            rows, placed = batch, batch.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order)))
+        try:
+            append_idempotent(placed if step is None else step(placed), batch_id, out)
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
