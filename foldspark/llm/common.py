@@ -37,10 +37,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/foldspark/{name}-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and read it again: cuts lineage, and lost executors need no recomputation."""
+    """Write `df` to the shared folder and read it again: cuts lineage, and lost executors need no recomputation.
+
+    The files go when the driver's JVM ends, or before that by `release`.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    fs, where = _files(df.sparkSession, path)
+    fs.deleteOnExit(where)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -57,9 +67,8 @@ def unused_name(df: DataFrame, name: str) -> str:
 def release(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
     if (path := getattr(df, "_scratch", None)) is not None:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        fs, where = _files(df.sparkSession, path)
+        fs.delete(where, True)
 
 
 # ---------------------------------------------------------------- bounded memory of the tasks
