@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foldspark.llm import byte_bpe, exact_dedup, language_id, mixing, near_dedup
-from foldspark.llm.common import materialise
+from foldspark.llm.common import materialise, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -53,5 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages, one after the other, to the table `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)  # the given table stays: it isn't a scratch table
     return docs
