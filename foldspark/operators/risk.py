@@ -50,14 +50,18 @@ def shard_partials(sharded: DataFrame, positions: DataFrame, marks: DataFrame, f
     unread = (failed if failed is not None else sharded.limit(0)).select("book", F.lit(True).alias("_failed"))
     rows = sharded.join(mark(positions, marks), "book", "left").join(unread.distinct(), "book", "left")
     some = F.col("symbol").isNotNull()
-    # by symbol first, so that each name is there once before names are gathered
-    keyed = rows.groupBy("shard", F.upper("symbol").alias("_key")).agg(
+    # priced rows fold into one row a shard where they are; only unpriced symbols go on by name
+    spelled = rows.groupBy("shard", F.when(some & ~F.col("priced"), F.col("symbol")).alias("_name")).agg(
         F.sum("market_value").alias("market_value"),
         F.sum("realized_cash").alias("realized_cash"),
         F.count(F.when(some & F.col("priced"), 1)).alias("valued"),
-        F.min(F.when(some & ~F.col("priced"), F.col("symbol"))).alias("name"),
         F.max("_failed").alias("failed"),
     )
+    keyed = spelled.groupBy("shard", F.upper("_name").alias("_key")).agg(
+        *(F.sum(c).alias(c) for c in ("market_value", "realized_cash", "valued")),
+        F.max("failed").alias("failed"),
+        F.min("_name").alias("name"),
+    )
     return keyed.groupBy("shard").agg(
         F.coalesce(F.sum("market_value"), F.lit(0)).cast(AMOUNT).alias("market_value"),
         F.coalesce(F.sum("realized_cash"), F.lit(0)).cast(AMOUNT).alias("realized_cash"),
