@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Names that operators use inside, and that an input may have too.
-CLASH = ["keep_id", "group_size", "digest", "kept", "component_id", "n_shingles", "bands", "bucket", "rep", "size", "taken", "target", "key", "shard", "held_out", "score", "of_id", "taken_id", "copy", "n", "a", "b"]
+CLASH = ["keep_id", "group_size", "digest", "kept", "component_id", "n_shingles", "bands", "bucket", "rep", "size", "taken", "target", "key", "shard", "held_out", "score", "of_id", "taken_id", "copy", "n", "a", "b", "n_tokens", "ids_sha256", "decoded_sha256", "ids_crc32", "start", "part", "weak_label", "keep", "lang_pred", "text_sha256", "template", "path"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 SYLLABLES = {"en": "th er on an re in ed nd ha at", "de": "ein sch ung ich ge be ver zu ü ß", "fr": "eau oi é è que tion ou ai le ment"}
 
