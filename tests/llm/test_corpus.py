@@ -16,7 +16,7 @@ from foldspark.llm import byte_bpe, chat_format, exact_dedup, language_id, mixin
 
 from foldspark.llm.url_filter_sql import judge_sql
 
-from .conftest import SCHEMA, SYLLABLES, rows_of, sentence
+from .conftest import CLASH, SCHEMA, SYLLABLES, rows_of, sentence
 
 
 # ---------------------------------------------------------------- language ID
@@ -302,6 +302,19 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert exact_dedup.drop_copies(docs).count() == docs.count() and byte_bpe.encode_checked(docs).count() == docs.count()
 
 
+def test_pipeline_over_no_documents(spark, no_docs, tmp_path):
+    """An empty table, and one whose documents all go in the first stage, leave no rows in the columns of any other run."""
+    none = str(tmp_path / "none")
+    no_docs.write.parquet(f"{none}/documents.parquet")
+    nothing = corpus_pipeline.run(spark, none)
+    assert nothing.count() == 0 and {"doc_id", "n_tokens", "ids"} <= set(nothing.columns)
+    blank = str(tmp_path / "blank")
+    rows = [(k, text, lang, "s", 0, *["?"] * len(CLASH)) for k, (text, lang) in enumerate([(None, "en"), ("", "en"), (" \n", None), ("42 %", "de")])]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{blank}/documents.parquet")
+    gone = corpus_pipeline.run(spark, blank)
+    assert gone.count() == 0 and gone.columns == nothing.columns
+
+
 @pytest.mark.parametrize("copies", [0, 200_000])
 def test_repeated_texts_leave_the_classifiers_their_samples(spark, copies, monkeypatch):
     """Copies of one text count once in a sample, so they take no place of other texts."""
