@@ -254,3 +254,19 @@ def test_watch_counts_are_the_watch_lists(spark, width):
     counted = quotes.watch_counts(t, w, width)
     assert sorted(counted.collect()) == sorted(listed.select(counted.columns).collect()) and counted.count() > 20
     assert quotes.watch_counts(t.limit(0), w, width).count() == 0 and quotes.watch_counts(t, w.limit(0), width).count() == 0
+
+
+def test_shard_partials_fold_priced_rows_apart_from_names(spark):
+    """Spellings of a symbol are one name in a shard, priced rows and an unknown book give none, and a failed book fails its shard."""
+    trades = [("A", 1, "x", "Buy", 2, 5), ("A", 2, "X", "Sell", 1, 5), ("A", 3, "gone", "Buy", 1, 1), ("B", 1, "GONE", "Buy", 3, 1), ("B", 2, "x", "Buy", 1, 7), ("C", 1, "other", "Buy", 1, 1)]
+    deliveries = spark.createDataFrame(trades + trades[:2], "book string, version long, symbol string, side string, quantity int, price int")
+    deliveries = deliveries.withColumns({c: F.col(c).cast("decimal(18,2)") for c in ("quantity", "price")})
+    marks = spark.createDataFrame([("X", "10.50"), ("OTHER", None)], "symbol string, mid string").withColumn("mid", F.col("mid").cast("decimal(18,2)"))
+    sharded = spark.createDataFrame([("A", "s0"), ("B", "s0"), ("C", "s1"), ("nobody", "s1"), ("nowhere", "s2")], "book string, shard string")
+    parts = {r.shard: r for r in risk.shard_partials(sharded, positions.project(deliveries), marks, spark.createDataFrame([("C",)], "book string")).collect()}
+    assert set(parts) == {"s0", "s1", "s2"}
+    first, second, third = parts["s0"], parts["s1"], parts["s2"]
+    # x is held as 2 and 1 in two books, X as -1: 21 + 10.5 - 10.5; cash is -10 + 5 - 1 - 3 - 7
+    assert (float(first.market_value), float(first.realized_cash), first.valued, first.unpriced, first.failed) == (21.0, -16.0, 3, ["GONE"], False)
+    assert (float(second.market_value), float(second.realized_cash), second.valued, second.unpriced, second.failed) == (0.0, -1.0, 0, ["other"], True)
+    assert (float(third.market_value), float(third.realized_cash), third.valued, third.unpriced, third.failed) == (0.0, 0.0, 0, [], False)
