@@ -134,3 +134,16 @@ def test_token_files(spark, odd_docs, odd_rows, no_docs, monkeypatch):
         assert sorted((r.n_tokens, r.ids_crc32) for r in got if r.doc_id == k) == sorted(found)
     assert sorted(r.start for r in got)[0] == 0 and len(got) == len(odd_rows)
     assert token_files.token_ids(no_docs).count() == 0
+
+
+def test_token_files_order_rows_with_one_doc_id_by_text(spark):
+    rng = random.Random(9)
+    rows = [(rng.randint(-3, 3), rng.choice([None, "", "the same beginning of more than thirty-two characters "]) and "the same beginning of more than thirty-two characters " + "".join(rng.choices("ab \u00e9\U0001f642", k=rng.randint(0, 9)))) for _ in range(80)]
+    rows += [(k % 7 - 3, "".join(rng.choices("xyzXYZ \u00e9\U0001f642", k=40))) for k in range(120)]
+    want, start = [], 0
+    for doc_id, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+        ids = [*FRESH.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = token_files.token_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).orderBy("start").collect()
+    assert [tuple(r) for r in got] == want
