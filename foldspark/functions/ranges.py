@@ -13,6 +13,16 @@ RANGE_ROWS = 1 << 20
 MOST_RANGES = 4096
 
 
+def dealt(rows: DataFrame, key: str, size: int, part_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows dealt by the hash of a key, where their number `size` asks for more partitions than the session's.
+
+    What is sorted and folded by that key after it is about `part_rows` rows a task, however large the table is; smaller
+    tables are left to the session and to adaptive execution.
+    """
+    parts = -(-size // part_rows)
+    return rows.repartition(parts, key) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def _range_of(value: Column, cuts: list[float]) -> Column:
     """How many cuts are below the value, by runs of cuts and then inside one run; null is -1."""
     if not cuts:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foldspark.functions.ranges import dealt
 from foldspark.sources.tables import read_table
 
 MONEY = "decimal(18,2)"
@@ -46,7 +47,8 @@ def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.when(F.col("event_type") == "account:opened", F.to_json(F.struct(F.col("stream_id").cast("string").alias("account_id"), F.lit("GBP").alias("currency")))).when(
         F.col("event_type") == "money:deposited:v1", F.to_json(F.struct("pence", F.concat(F.lit("ref-"), "k").alias("reference")))
     ).otherwise(F.to_json(F.struct("pence", F.lit("GBP").alias("currency"), F.concat(F.lit("ref-"), "k").alias("reference"))))
-    return opened.union(moved).select("stream_id", version.alias("version"), "event_type", payload.alias("payload"), "pence")
+    rows = dealt(opened.union(moved), "stream_id", read_table(spark, sf_dir, "orders").count())
+    return rows.select("stream_id", version.alias("version"), "event_type", payload.alias("payload"), "pence")
 
 
 def tenant_events(spark: SparkSession, sf_dir: str) -> DataFrame:
