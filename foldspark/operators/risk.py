@@ -48,13 +48,18 @@ def shard_partials(sharded: DataFrame, positions: DataFrame, marks: DataFrame, f
     A book in `failed` could not be read, which fails its whole shard; an unknown book is merely empty.
     """
     unread = (failed if failed is not None else sharded.limit(0)).select("book", F.lit(True).alias("_failed"))
-    rows = sharded.join(mark(positions, marks), "book", "left").join(unread.distinct(), "book", "left")
+    books = sharded.select("shard", "book")
+    # positions come by book, and the few books of each partition are looked up where they are; only the marks need a shuffle
+    held = positions.join(books.hint("shuffle_hash"), "book").select("shard", "symbol", "net_quantity", "realized_cash")
     some = F.col("symbol").isNotNull()
+    rows = mark(held, marks).select("shard", F.when(some & ~F.col("priced"), F.col("symbol")).alias("_name"), "market_value", "realized_cash", (some & F.col("priced")).alias("_valued"), F.lit(None).cast("boolean").alias("_failed"))
+    # a row a book beside them, for books without positions and those that could not be read
+    flags = books.join(unread.distinct(), "book", "left").select("shard", "_failed")
     # priced rows fold into one row a shard where they are; only unpriced symbols go on by name
-    spelled = rows.groupBy("shard", F.when(some & ~F.col("priced"), F.col("symbol")).alias("_name")).agg(
+    spelled = rows.unionByName(flags, allowMissingColumns=True).groupBy("shard", "_name").agg(
         F.sum("market_value").alias("market_value"),
         F.sum("realized_cash").alias("realized_cash"),
-        F.count(F.when(some & F.col("priced"), 1)).alias("valued"),
+        F.count(F.when(F.col("_valued"), 1)).alias("valued"),
         F.max("_failed").alias("failed"),
     )
     keyed = spelled.groupBy("shard", F.upper("_name").alias("_key")).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foldspark.functions.ranges import dealt
+from foldspark.functions.ranges import RANGE_ROWS, dealt
 from foldspark.sources.tables import read_table
 
 MONEY = "decimal(18,2)"
@@ -27,9 +27,12 @@ def redelivered(rows: DataFrame, key: str, every: int = 7) -> DataFrame:
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book, version, symbol, side, quantity, price): one trade a line item, versions ascending in each book."""
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    version = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*order)).cast("bigint")
-    return read_table(spark, sf_dir, "lineitem").select(
-        F.concat(F.lit("S"), "l_suppkey").alias("book"), version.alias("version"), F.concat(F.lit("P"), "l_partkey").alias("symbol"), F.when(F.col("l_returnflag") == "R", "Sell").otherwise("Buy").alias("side"), F.col("l_quantity").cast(MONEY).alias("quantity"), F.col("l_extendedprice").cast(MONEY).alias("price")
+    # dealt by the name of the book, so that what folds by book after it finds its rows together
+    lines = read_table(spark, sf_dir, "lineitem")
+    rows = dealt(lines.select(F.concat(F.lit("S"), "l_suppkey").alias("book"), *order), "book", lines.count(), RANGE_ROWS // 2)
+    version = F.row_number().over(Window.partitionBy("book").orderBy(*order)).cast("bigint")
+    return rows.select(
+        "book", version.alias("version"), F.concat(F.lit("P"), "l_partkey").alias("symbol"), F.when(F.col("l_returnflag") == "R", "Sell").otherwise("Buy").alias("side"), F.col("l_quantity").cast(MONEY).alias("quantity"), F.col("l_extendedprice").cast(MONEY).alias("price")
     )
 
 
